@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # the files are an optional package; any other folder can be named by LODESTONE_TOKENIZERS
+    import public_tokenizers
+
+    tokenizer_path = public_tokenizers.path
+except ImportError:
+    import os
+
+    def tokenizer_path(name: str) -> str:
+        return os.path.join(os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers"), name)
+
+
 from .common import saved
 from .fingerprints import fingerprint_pairs
+from .pieces import decode, encode
 from .sharding import shard_by_bytes
 from .topk import quantised, top_k
 
@@ -21,6 +33,17 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        _sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        _sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = saved(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "quantised")
     return top_k(rows, rows.where("vec_id % 100 = 0"), 10)
