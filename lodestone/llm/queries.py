@@ -20,6 +20,7 @@ except ImportError:
 
 from .common import saved
 from .fingerprints import fingerprint_pairs
+from .packing import pack_documents
 from .pieces import decode, encode
 from .sharding import shard_by_bytes
 from .topk import quantised, top_k
@@ -49,6 +50,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where("vec_id % 100 = 0"), 10)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), 2048)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir), 40)
 
