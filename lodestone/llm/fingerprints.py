@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -106,10 +104,10 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     visits = F.filter(
         F.array(visit(F.col("_range"), 0), F.when(is_cut, visit(F.col("_range") - 1, 1)).otherwise(none), F.when(start, visit(len(cuts), 2)).otherwise(none)), lambda v: v.isNotNull()
     )
-    spread = docs.drop("_c").withColumn("_v", F.explode(visits))
-    order = W.partitionBy("_v.r").orderBy("_v.g", F.col(key).asc_nulls_first(), *columns)
-    after = reduce(lambda d, c: d.withColumn(f"next_{c}", F.lead(c).over(order)), columns, spread)
-    return after.where(F.col("_v.g") == 0).drop("_v", "_range")
+    spread = docs.drop("_c").select("*", F.explode(visits).alias("_v")).select("*", F.col("_v.r").alias("_r"), F.col("_v.g").alias("_g")).drop("_v", "_range")
+    order = W.partitionBy("_r").orderBy("_g", F.col(key).asc_nulls_first(), *columns)
+    after = spread.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))  # one shuffle for all of them
+    return after.where("_g = 0").drop("_r", "_g")
 
 
 def edited(text: Column, following: Column, share: int = 4) -> Column:
