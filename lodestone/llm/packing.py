@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import saved
-from .pieces import WordTable, slices_of
+from .pieces import WordTable, flattened, slices_of
 
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 #: The byte-level pre-tokenizer's rule, over the characters that PLAIN allows.
@@ -38,19 +38,19 @@ class ByteTokenizer:
         self.line = self.model.encode("\n", add_special_tokens=False).ids
         self.table = WordTable(self.segment)
 
-    def segment(self, words: list[str]) -> list[np.ndarray]:
+    def segment(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Words of letters go to the library in long lists, one a line; other words one by one."""
-        out: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if WORD.match(w)] if len(self.line) == 1 else []
-        for k in range(0, len(plain), 50_000):
-            own = plain[k : k + 50_000]
-            ids = np.array(self.model.encode("\n".join([words[i] for i in own]), add_special_tokens=False).ids, np.int32)
-            for i, part in zip(own, np.split(ids, np.flatnonzero(ids == self.line[0])), strict=True):
-                out[i] = part[1:] if i != own[0] else part
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.model.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+        line = self.line[0] if len(self.line) == 1 else -1
+        plain = [w for w in words if WORD.match(w)] if line >= 0 else []
+        rest = [w for w in words if not WORD.match(w)] if line >= 0 else words
+        flat, sizes = flattened([e.ids for e in self.model.encode_batch(rest, add_special_tokens=False)])
+        parts, counts = [flat], [sizes]
+        for k in range(0, len(plain), 20_000):
+            ids = np.array(self.model.encode_batch_fast(["\n".join([*plain[k : k + 20_000], ""])], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == line)
+            parts.append(np.delete(ids, ends))
+            counts.append(np.diff(ends, prepend=-1) - 1)
+        return rest + plain, np.concatenate(parts), np.concatenate(counts)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for a, b in slices_of(texts):

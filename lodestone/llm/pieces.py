@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ def load_model(path: str):
 class WordTable:
     """Distinct marked words of a task, each segmented once.
 
+    segment(words) gives (the words in an order of its choice, their ids one after another, how many each has).
     `flat` has the ids of all words one after another; word w owns flat[start[w]:start[w + 1]].
     """
 
@@ -52,10 +54,9 @@ class WordTable:
             if len(known) + len(missing) > self.limit and known:
                 self.clear()
                 return self.numbers(words)
-            found = self.segment(missing)
+            missing, flat, sizes = self.segment(missing)
             known.update(zip(missing, range(len(known), len(known) + len(missing)), strict=True))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, flat])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
@@ -67,6 +68,11 @@ class WordTable:
         return self.flat[np.repeat(self.start[numbers] - (ends - sizes), sizes) + np.arange(total)], sizes
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
 def slices_of(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most `most` characters together (a longer text alone)."""
     begin, size = 0, 0
@@ -96,9 +102,9 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
         model = load_model(model_path)
         lone = model.encode("a ")[len(model.encode("a")) :]  # a blank that ends a text
 
-        def segment(words: list[str]) -> list[list[int]]:
+        def segment(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
             # a word's first mark is what the library puts before a text by itself
-            return [ids if w[1:] else lone for w, ids in zip(words, model.encode([w[1:] for w in words], num_threads=1), strict=True)]
+            return words, *flattened([ids if w[1:] else lone for w, ids in zip(words, model.encode([w[1:] for w in words], num_threads=1), strict=True)])
 
         table = WordTable(segment)
         for batch in batches:
