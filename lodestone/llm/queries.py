@@ -18,7 +18,8 @@ except ImportError:
         return os.path.join(os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers"), name)
 
 
-from .common import saved
+from . import language, toxicity
+from .common import held_out, saved
 from .fingerprints import fingerprint_pairs
 from .packing import pack_documents
 from .pieces import decode, encode
@@ -34,6 +35,19 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    net = language.train(docs.where("not held_out"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), net).drop("text")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs.where("not held_out").join(labels, "doc_id"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     rows = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path)
