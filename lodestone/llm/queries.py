@@ -24,6 +24,7 @@ from .fingerprints import fingerprint_pairs
 from .packing import pack_documents
 from .pieces import decode, encode
 from .sharding import shard_by_bytes
+from .suffixes import remove_repeats
 from .topk import quantised, top_k
 
 
@@ -35,6 +36,11 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
     net = language.train(docs.where("not held_out"))
