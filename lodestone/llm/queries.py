@@ -18,7 +18,7 @@ except ImportError:
         return os.path.join(os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers"), name)
 
 
-from . import language, toxicity
+from . import language, scoring, toxicity
 from .common import held_out, saved
 from .fingerprints import fingerprint_pairs
 from .packing import pack_documents
@@ -78,6 +78,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_documents(spark, sf_dir), 40)
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
+    path = tokenizer_path("byte_bpe_50k.json")
+    return scoring.score(docs, scoring.train(docs.where("not held_out"), path), path)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint_pairs(_documents(spark, sf_dir))
     digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
