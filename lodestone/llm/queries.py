@@ -21,6 +21,7 @@ except ImportError:
 from . import language, scoring, toxicity
 from .common import held_out, saved
 from .fingerprints import fingerprint_pairs
+from .jaccard import Near, group_near
 from .packing import pack_documents
 from .pieces import decode, encode
 from .sharding import shard_by_bytes
@@ -98,6 +99,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_near(_documents(spark, sf_dir).select("doc_id", "text"), Near(4, 85, 100))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
