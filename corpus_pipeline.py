@@ -3,15 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestone.llm import language, toxicity
 from lodestone.llm.common import saved
+from lodestone.llm.jaccard import Near, group_near
+from lodestone.llm.packing import pack_documents
+from lodestone.llm.queries import tokenizer_path
+from lodestone.llm.suffixes import remove_repeats
 
-STAGES = []
+#: A text whose bytes speak for no language by half or more is rejected.
+LEAST_LANGUAGE = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to the labelled ones among them, doesn't find toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters, half of whose bytes or more speak for one language."""
+    scored = language.identify(docs, language.train(docs))
+    return scored.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id; texts without words stay."""
+    groups = group_near(docs.select("doc_id", "text"), Near(5, 80, 100))
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of repeated strings; what a cut leaves of a character goes too."""
+    cut = remove_repeats(docs)
+    rest = F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("�"), F.lit(""))
+    text = F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), 2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", drop_repeats),
+    ("packing", pack),
+]
+#: The models of the first two stages have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
