@@ -197,7 +197,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = BL
         for batch in batches:
             for r in batch.to_pylist():
                 ids, lows, widths = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["lows"], np.int64), np.frombuffer(r["widths"], np.int32)
-                slices = np.frombuffer(r["slices"], np.uint64).reshape(int(widths.sum()), -1)
+                slices = np.frombuffer(r["slices"], np.uint64).reshape(int(widths.sum()), -(-len(ids) // 64))
                 query_ids = np.frombuffer(r["query_ids"], np.int64)
                 vectors = np.frombuffer(r["vectors"], np.int64).reshape(len(query_ids), -1)
                 hits = list(search_block(ids, lows, widths, slices, query_ids, vectors, k))

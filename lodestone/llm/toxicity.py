@@ -92,6 +92,7 @@ def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, feat
     outer, bias = (rng.normal(size=(size, 2)) * 0.3).astype(np.float32), np.zeros(2, np.float32)
     adam = Adam([table, outer, bias], 0.05)
     norm = 1 / (n1 + clean * n0) * len(y)
+    epochs = max(epochs, -(-400 * batch // len(bags)))
     steps = epochs * -(-len(bags) // batch)
     step = 0
     for _ in range(epochs):
