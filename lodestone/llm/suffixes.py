@@ -3,8 +3,8 @@
 A difference cover of period v is a set of residues such that any two positions have a common distance k < v
 to sampled positions. So if the same WINDOW bytes start at i and j, then for some k both i + k and j + k are
 sampled, and what follows them agrees for at least CENTRE = WINDOW - v + 1 bytes. The classic algorithm takes
-v = 3 and triples of letters; to compare only to a depth of WINDOW bytes a sparse cover does (v = 307, 18
-residues, one position in 17), with triples of names: of the bytes left of a sampled position, of CENTRE bytes
+v = 3 and triples of letters; to compare only to a depth of WINDOW bytes a sparse cover does (v = 183, 14
+residues, one position in 13), with triples of names: of the bytes left of a sampled position, of CENTRE bytes
 from it, and of those right of them. The steps:
 
 1. sort the sampled triples by their centre: what is alone repeats nowhere;
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import fmix, partitions, saved, utf8_slices
 
 WINDOW = 400
-ORDER = 17
+ORDER = 13
 PERIOD = ORDER * ORDER + ORDER + 1
 CENTRE = WINDOW - PERIOD + 1
 #: Bytes of text that a task names at a time.
