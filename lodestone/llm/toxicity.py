@@ -62,15 +62,12 @@ class Classifier:
         return total / np.maximum(count, 1) + self.bias
 
 
-def _bags(texts: list[str], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text its distinct buckets and their shares of its grams."""
-    out = []
-    for t in texts:
-        data, _ = joined([t])
-        own = np.concatenate([b[i] for b, i in subwords(data, bits)] or [np.zeros(0, np.uint32)])
-        buckets, n = np.unique(own, return_counts=True)
-        out.append((buckets.astype(np.int64), (n / max(1, n.sum())).astype(np.float32)))
-    return out
+def _bag(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct buckets and their shares of its grams."""
+    data, _ = joined([text])
+    own = np.concatenate([b[i] for b, i in subwords(data, bits)] or [np.zeros(0, np.uint32)])
+    buckets, n = np.unique(own, return_counts=True)
+    return buckets.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, features: int = 20_000, clean: float = 4.0, epochs: int = 12, batch: int = 64, seed: int = 9) -> Classifier:
@@ -78,16 +75,20 @@ def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, feat
     y = np.array(labels)
     if len(set(labels)) < 2:  # nothing to tell apart
         return Classifier(bits, np.zeros(1 << bits, np.float32), 9.0 if labels and labels[0] else -9.0)
-    bags, rng = _bags(texts, bits), np.random.default_rng(seed)
-    seen = [np.bincount(np.concatenate([bags[i][0] for i in np.flatnonzero(y == c)]), minlength=1 << bits) for c in (0, 1)]
+    rng, seen = np.random.default_rng(seed), np.zeros((2, 1 << bits), np.int32)
+    for t, c in zip(texts, labels, strict=True):
+        seen[c, _bag(t, bits)[0]] += 1
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     p = (seen[0] + seen[1] + 1) / (len(y) + 2)
     apart = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
     # buckets whose share of texts differs most between the labels; others, and those of one or two texts, weigh nothing
     used = np.sort(np.argsort(-np.where(seen[0] + seen[1] >= 3, apart, 0), kind="stable")[:features])
-    place = np.full(1 << bits, -1)
+    place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
-    bags = [(place[b][place[b] >= 0], s[place[b] >= 0]) for b, s in bags]
+    bags = []
+    for t in texts:  # only the used ones are held
+        b, s = _bag(t, bits)
+        bags.append((place[b][place[b] >= 0], s[place[b] >= 0]))
     table = (rng.normal(size=(len(used), size)) * 0.1).astype(np.float32)
     outer, bias = (rng.normal(size=(size, 2)) * 0.3).astype(np.float32), np.zeros(2, np.float32)
     adam = Adam([table, outer, bias], 0.05)
@@ -120,7 +121,7 @@ def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, feat
     return Classifier(bits, weight, float(bias[1] - bias[0]))
 
 
-def train(labelled: DataFrame, sample: int = 8000, longest: int = 20_000, **how) -> Classifier:
+def train(labelled: DataFrame, sample: int = 6000, longest: int = 10_000, **how) -> Classifier:
     """A classifier from a bounded sample of labelled: doc_id, text, toxic (0 or 1).
 
     `sample` rows at most, balanced over both labels, of texts of at most `longest` characters.
