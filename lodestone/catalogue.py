@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import frequency
+from .plans import analytics, frequency, tables
 
-MODULES = (frequency,)
+MODULES = (frequency, analytics, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
