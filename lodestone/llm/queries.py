@@ -51,7 +51,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.train(docs.where("not held_out").join(labels, "doc_id"))
+    model = toxicity.train(docs.where("not held_out"), labels)
     return toxicity.score(docs, model).drop("text")
 
 

@@ -121,16 +121,21 @@ def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, feat
     return Classifier(bits, weight, float(bias[1] - bias[0]))
 
 
-def train(labelled: DataFrame, sample: int = 6000, longest: int = 10_000, **how) -> Classifier:
-    """A classifier from a bounded sample of labelled: doc_id, text, toxic (0 or 1).
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 10_000, **how) -> Classifier:
+    """A classifier from a bounded sample of docs (doc_id, text) and labels (doc_id, toxic: 0 or 1).
 
-    `sample` rows at most, balanced over both labels, of texts of at most `longest` characters.
+    `sample` rows at most, balanced over both labels, of texts of at most `longest` characters. Ids meet labels
+    without their texts; the drawn ids, at most `sample`, are broadcast to fetch these.
     """
-    ids = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where(F.length("text") <= longest)
-    found = balanced(ids, "toxic", "doc_id", sample, 2).select("text", "toxic").collect()
+    short = docs.select("doc_id", "text").where(F.length("text") <= longest)
+    marks = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    marked = short.select("doc_id").join(marks, "doc_id")
+    chosen = balanced(marked, "toxic", "doc_id", sample, 2).distinct()
+    # repeated ids fetch more rows than were drawn: the second limit bounds these too
+    found = short.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "toxic", "text").limit(sample).select("text", "toxic").collect()
     model = fit([r["text"] for r in found], [r["toxic"] for r in found], **how)
     # the fit weighs both labels alike; the odds of a label among all labelled rows come back here
-    ones, n = ids.agg(F.sum("toxic"), F.count("*")).first()
+    ones, n = marked.agg(F.sum("toxic"), F.count("*")).first()
     return replace(model, bias=model.bias + float(np.log(ones / (n - ones)))) if ones and ones < n else model
 
 

@@ -123,17 +123,17 @@ def test_pieces(docs, empty):
 
 def test_toxicity(docs, empty, spark):
     labelled = docs.select("doc_id", "text", F.col("text").contains("loser").cast("int").alias("toxic"))
-    model = toxicity.train(labelled)
+    model = toxicity.train(docs, labelled)
     got = toxicity.score(docs, model).collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert len({r.score for r in got if not (r.text or "").strip()}) == 1
-    nothing = toxicity.train(labelled.where("false"))
+    nothing = toxicity.train(docs, labelled.where("false"))
     assert {r.predicted for r in toxicity.score(docs, nothing).collect()} == {0}
     assert toxicity.score(empty, model).count() == 0
     bad = spark.createDataFrame([(i, f"{prose(i, 20)} {'scumbag' if i % 3 == 0 else 'neighbour'} {prose(i + 500, 9)}", int(i % 3 == 0)) for i in range(150)], "doc_id long, text string, toxic int")
-    found = toxicity.score(bad, toxicity.train(bad)).collect()
+    found = toxicity.score(bad, toxicity.train(bad, bad)).collect()
     assert sum(r.predicted == r.toxic for r in found) > 145
-    assert toxicity.train(bad).log_odds(["you scumbagg"])[0] > toxicity.train(bad).log_odds(["you neighbour"])[0]
+    assert toxicity.train(bad, bad).log_odds(["you scumbagg"])[0] > toxicity.train(bad, bad).log_odds(["you neighbour"])[0]
 
 
 def test_top_k(spark):
