@@ -19,7 +19,7 @@ LEAST_LANGUAGE = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the labelled ones among them, doesn't find toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
