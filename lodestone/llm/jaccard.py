@@ -1,19 +1,21 @@
 """Exact join of texts whose word n-gram sets have a Jaccard similarity of at least num / den, and its groups.
 
 Jaccard distance is a metric, so what lies within e of one text lies within d - e and d + e of a pivot at
-distance d from it. But most texts share no n-gram: every pivot is at distance 1 from nearly all, windows of
-1 - e to 1 + e hold everything, and Voronoi cells of pivot texts alone would replicate every text to every
-cell. So the outermost cells come from an exact pigeonhole rule, and pivots work within them:
+distance d from it. But most texts share no n-gram: every pivot is at distance 1 from nearly all, and windows of
+1 - e to 1 + e hold everything. So exact rules find which texts can be near a pivot at all, and regions and
+windows work there:
 
 1. Equal sets are one class. Sets fall into size levels; per level the n-grams are dealt to k groups by hash,
-   k so large that similar sets agree in a group that is not empty. A text visits the cell of each of its
-   groups' contents.
-2. In a cell the smallest class is the pivot and the distance of all others to it is computed from the sets.
-   Those within e are linked to it.
-3. What lies further than e from the pivot goes on as the next cell, with those linked texts whose distance
-   says that they can be within e of one of them (the boundary texts). There the smallest class of those
-   further out is the pivot; and so on until none is left.
-4. Links make components by repeated smallest labels.
+   k so large that similar sets agree in a group that is not empty. Classes that agree with no other drop out.
+2. The n-grams of those left are counted and ordered from rare to common. Near sets share one of their rarest
+   n - ceil(n num / den) + 1; the classes that have an n-gram among these are its cell.
+3. The pivot of a cell is the class whose n-grams are the most common; the region of a pivot is all that share
+   a cell with it. Distances to the pivot are computed, and those within e are linked to it.
+4. What lies further than e from its pivot is joined within the region with the others like it and with the
+   linked boundary classes that the triangle inequality lets be near one of them. A region is dealt to blocks of
+   bounded size and each task joins two blocks, every class in turn a pivot for those whose distances to the
+   region's pivot differ by e at most and that are not yet connected with it.
+5. Links make components by repeated smallest labels.
 """
 
 from __future__ import annotations
@@ -138,7 +140,10 @@ class Cells:
 
 
 _CELLS = "key long, kind int, chunk long, data binary"
-_MEMBERS = "cell binary, cls binary"
+_NAMES = "cls binary"
+_LINKS = "a binary, b binary"
+#: Classes and n-grams that a block of a region holds, about.
+BLOCK, BLOCK_GRAMS = 768, 2_000_000
 
 
 def _visits(near: Near, buckets: int, most: int = 24_000_000):
@@ -184,7 +189,7 @@ def _visits(near: Near, buckets: int, most: int = 24_000_000):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells with two classes or more: (cell, class) rows; of cells with the same classes one is enough."""
+    """The classes of cells that two classes or more visit."""
     for _, rows in _groups(batches):
         names, tops, lows = [], [], []
         for _, _, d in rows:
@@ -194,28 +199,46 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tops.append(np.frombuffer(d, ">u8", used, 16 + 12 * n)[at])
             lows.append(np.frombuffer(d, ">u8", used, 16 + 12 * n + 8 * used)[at])
         name, top, low = np.concatenate(names), np.concatenate(tops).astype(np.uint64), np.concatenate(lows).astype(np.uint64)
-        distinct, number, count = np.unique(name, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(count[number] > 1)
-        order = several[np.lexsort((low[several], top[several], number[several]))]
-        if not len(order):
-            continue
-        n, t, w = number[order], top[order], low[order]
-        new = np.concatenate([[True], (n[1:] != n[:-1]) | (t[1:] != t[:-1]) | (w[1:] != w[:-1])])
-        n, t, w = n[new], t[new], w[new]
-        start = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
-        size = np.diff(np.append(start, len(n)))
-        # a cell is named by its members, so cells with the same members are one
-        mixed = fmix(t ^ fmix(w))
-        sum_a, sum_b = np.add.reduceat(mixed, start), np.add.reduceat(fmix(mixed + np.uint64(1)), start)
-        _, first = np.unique(np.stack([sum_a, sum_b], axis=1), axis=0, return_index=True)
-        first = first[size[first] > 1]
-        for i in range(0, len(first), 4096):
-            own = first[i : i + 4096]
-            at = np.repeat(start[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
-            cell = np.repeat(np.stack([sum_a[own], sum_b[own]], axis=1).astype(">u8"), size[own], axis=0)
-            cls = np.stack([t[at], w[at]], axis=1).astype(">u8")
-            fixed = lambda a: pa.array([x.tobytes() for x in a], pa.binary())
-            yield pa.RecordBatch.from_arrays([fixed(cell), fixed(cls)], schema=_arrow(_MEMBERS))
+        order = np.lexsort((low, top, name))
+        name, top, low = name[order], top[order], low[order]
+        # neighbours of the same cell but not of the same class
+        apart = (name[1:] == name[:-1]) & ((top[1:] != top[:-1]) | (low[1:] != low[:-1]))
+        several = np.isin(name, name[1:][apart])
+        found = np.unique(np.stack([top[several], low[several]], axis=1), axis=0).astype(">u8")
+        for k in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found[k : k + 10_000]], pa.binary())], schema=_arrow(_NAMES))
+
+
+def _join_blocks(near: Near):
+    """Links between the classes of two blocks of a region, as many as connect what near pairs connect."""
+
+    def work(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        names, size = block["cls"].to_pylist(), block["n"].to_numpy()
+        linked, distance = block["linked"].to_numpy(zero_copy_only=False).astype(bool), block["distance"].to_numpy()
+        grams = block["live"].combine_chunks()
+        start = np.asarray(grams.offsets).astype(np.int64)
+        distinct, flat = np.unique(np.asarray(grams.flatten()), return_inverse=True)
+        start = start - start[0]
+        label = np.where(linked, -1, np.arange(len(names)))  # the linked ones are connected by their pivot
+        done, mark, out = np.zeros(len(names), bool), np.zeros(len(distinct), np.int32), []
+        for x in np.flatnonzero(~linked):
+            may = ~done & (label != label[x]) & (np.abs(distance - distance[x]) <= near.far + 1e-9)
+            may &= (near.den * size >= near.num * size[x]) & (near.den * size[x] >= near.num * size)
+            done[x] = True
+            if not may.any():
+                continue
+            own = flat[start[x] : start[x + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat], start[:-1])
+            mark[own] = 0
+            hit = np.flatnonzero(may & (near.den * both >= near.num * (size + size[x] - both)))
+            for y in hit[np.unique(label[hit], return_index=True)[1]]:
+                out.append((names[x], names[y]))
+                label[label == label[y]] = label[x]
+        return pa.table([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], schema=_arrow(_LINKS))
+
+    return work
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,37 +259,51 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def links(docs: DataFrame, near: Near) -> DataFrame:
-    """a, b: pairs of set classes, enough of all near pairs to connect whatever near pairs connect."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+def _regions(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
+    """(classes that may be near another: cls, n, live = their n-grams that others have, weight; regions: pivot, cls)."""
+    n = partitions(docs.sparkSession)
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    cells = text.mapInArrow(_visits(near, 2 * n), _CELLS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, _MEMBERS)
-    members = saved(cells.distinct(), "cells")
-    wanted = saved(members.select("cls").distinct(), "wanted")
-    sets = with_class(text.withColumn("_u", F.lit(0)), near, grams=True).select("cls", "grams")
+    wanted = text.mapInArrow(_visits(near, 2 * n), _CELLS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, _NAMES)
+    wanted = saved(wanted.distinct(), "wanted")
+    sets = with_class(text.withColumn("_u", F.lit(0)), near, grams=True).select("cls", "n", "grams")
     # one task's copies of a set are told apart by nothing: any of them will do
-    sets = saved(sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams")), "sets")
-    found = None
-    members = members.withColumn("open", F.lit(True))
-    while True:
-        pivots = members.where("open").groupBy("cell").agg(F.min("cls").alias("pivot"))
-        cell = saved(members.join(pivots, "cell"), "cell")
-        pairs = cell.where("cls <> pivot").select("pivot", "cls").distinct()
-        both = pairs.join(sets.select("cls", F.col("grams").alias("g")), "cls").join(sets.select(F.col("cls").alias("pivot"), F.col("grams").alias("h")), "pivot")
-        both = both.select("pivot", "cls", F.size(F.array_intersect("g", "h")).alias("both"), (F.size("g") + F.size("h")).alias("sum"))
-        both = both.select("pivot", "cls", (near.den * F.col("both") >= near.num * (F.col("sum") - F.col("both"))).alias("linked"), (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("distance"))
-        both = saved(both, "distances")
-        hit = both.where("linked").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-        found = hit if found is None else found.union(hit)
-        inside = cell.where("cls <> pivot").join(both, ["pivot", "cls"])
-        rest = F.col("open") & ~F.col("linked")
-        left = saved(inside.where(rest).groupBy("cell").agg(F.min("distance").alias("nearest"), F.max("distance").alias("farthest")), "left")
-        if not left.limit(1).count():
-            return found
-        # those further out, and all others that the triangle inequality lets be near one of them
-        inside = inside.join(left, "cell").where(rest | ((F.col("distance") >= F.col("nearest") - near.far - 1e-9) & (F.col("distance") <= F.col("farthest") + near.far + 1e-9)))
-        members = inside.select("cell", "cls", rest.alias("open"))
+    sets = saved(sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "sets")
+    each = sets.select("cls", "n", F.explode("grams").alias("gram"))
+    common = saved(each.groupBy("gram").count().where("count > 1"), "common")
+    live = each.join(common, "gram").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("count", "gram"))).alias("live"))
+    own = F.col("n") - F.size("live")  # n-grams that no other class has come first in the order
+    prefix = F.col("n") - F.ceil(F.col("n") * near.num / F.lit(near.den)) + 1 - own
+    mass = F.aggregate("live", F.lit(0).cast("long"), lambda x, g: x + g["count"])
+    live = live.withColumn("weight", (mass + own) / F.col("n")).withColumn("prefix", F.slice("live.gram", F.lit(1), F.greatest(F.lit(0), prefix).cast("int")))
+    live = saved(live.select("cls", "n", F.col("live.gram").alias("live"), "weight", "prefix"), "live")
+    cells = live.select("cls", "weight", F.explode("prefix").alias("gram"))
+    pivots = cells.groupBy("gram").agg(F.count("*").alias("_n"), F.max_by("cls", F.struct("weight", "cls")).alias("pivot")).where("_n > 1").drop("_n")
+    regions = cells.join(pivots, "gram").where("cls <> pivot").select("pivot", "cls").distinct()
+    return live.drop("prefix"), saved(regions, "regions")
+
+
+def links(docs: DataFrame, near: Near) -> DataFrame:
+    """a, b: pairs of set classes, enough of all near pairs to connect whatever near pairs connect."""
+    sets, regions = _regions(docs, near)
+    hearts = sets.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("live").alias("heart"))
+    both = regions.join(sets.select("cls", "n", "live"), "cls").join(hearts, "pivot").withColumn("both", F.size(F.array_intersect("live", "heart")))
+    either = F.col("n") + F.col("m") - F.col("both")
+    near_pivot, distance = (near.den * F.col("both") >= near.num * either).alias("linked"), (1 - F.col("both") / either).alias("distance")
+    region = saved(both.select("pivot", "cls", "n", near_pivot, distance), "distances")
+    outer = ~F.col("linked")
+    span = region.groupBy("pivot").agg(F.min(F.when(outer, F.col("distance"))).alias("nearest"), F.count("*").alias("size")).where("nearest is not null and size > 1")
+    # those further out, and the linked ones that the triangle inequality lets be near one of them
+    open_ = region.join(span.drop("size"), "pivot").where(outer | (F.col("distance") >= F.col("nearest") - near.far - 1e-9))
+    blocks = lambda own: F.ceil(F.greatest(F.sum(own.cast("long")) / BLOCK, F.sum(F.when(own, F.col("n")).otherwise(0)) / BLOCK_GRAMS))
+    dealt = open_.groupBy("pivot").agg(blocks(outer).alias("outside"), blocks(F.col("linked")).alias("inside"))
+    at = F.xxhash64("cls")
+    block = F.when(outer, F.pmod(at, F.col("outside"))).otherwise(F.col("outside") + F.pmod(at, F.greatest(F.col("inside"), F.lit(1)))).cast("int")
+    last = (F.when(outer, F.col("outside") + F.col("inside")).otherwise(F.col("outside")) - 1).cast("int")
+    with_ = F.explode(F.filter(F.sequence(F.lit(0), F.col("last")), lambda j: (j != F.col("block")) | (F.col("outside") + F.col("inside") == 1))).alias("other")
+    members = open_.join(dealt, "pivot").withColumn("block", block).withColumn("last", last).select("pivot", "cls", "linked", "distance", "block", with_)
+    members = members.select("pivot", "cls", "linked", "distance", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    joined = members.join(sets.select("cls", "n", "live"), "cls").groupBy("pivot", "i", "j").applyInArrow(_join_blocks(near), _LINKS)
+    return region.where("linked").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).union(joined)
 
 
 def group_near(docs: DataFrame, near: Near, key: str = "doc_id") -> DataFrame:

@@ -313,3 +313,32 @@ def test_pipeline(spark, tmp_path):
             docs = out
     assert json.dumps(out.columns) == json.dumps(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+
+
+@pytest.mark.parametrize("block", [3, 768])
+def test_jaccard_regions_in_blocks(spark, monkeypatch, block):
+    """Drifting copies, near some others but not all: chains, regions of many classes, and blocks of few."""
+    from lodestone.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng, texts = random.Random(31), []
+    for family in range(3):
+        kept = [[f"w{family}x{i}" for i in range(60)]]
+        for k in range(60):
+            words = list(rng.choice(kept))
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(len(words))] = f"m{family}x{k}x{rng.randint(0, 5)}"
+            kept.append(words)
+        texts += [" ".join(w) for w in kept]
+    near = Near(3, 70, 100)
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near.den * len(sets[i] & sets[j]) >= near.num * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert len(set(root)) > 5
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = group_near(frame, near).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
