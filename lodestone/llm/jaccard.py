@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,8 +92,25 @@ def _class(grams: np.ndarray) -> bytes:
 _SETS = "cls binary, n long, grams array<long>"
 
 
-def with_class(docs: DataFrame, near: Near, grams: bool = False) -> DataFrame:
-    """docs without text, with cls (16 bytes that name the n-gram set; null if empty), n (its size), and grams."""
+#: Bits of the filter that keeps sets of classes without partners out of a shuffle. Its 8 MB don't grow with the
+#: input; it is sharp up to some ten million wanted classes, beyond it lets more pass, and the join after it is exact.
+FILTER_BITS = 26
+
+
+def _filter(names: DataFrame) -> np.ndarray:
+    """Which values the first bits of names' cls take, as packed bits."""
+    at = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("long") % 2**FILTER_BITS + 1
+    out = np.zeros((2**FILTER_BITS >> 15, 4096), np.uint8)
+    for r in names.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+        out[r["b"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def with_class(docs: DataFrame, near: Near, grams: bool = False, only: Broadcast | None = None) -> DataFrame:
+    """docs without text, with cls (16 bytes that name the n-gram set; null if empty), n (its size), and grams.
+
+    only: a filter; rows whose class it rules out are left out.
+    """
     kept = [f for f in docs.schema.fields if f.name != "text"]
     extra = [T.StructField("cls", T.BinaryType()), T.StructField("n", T.LongType())] + ([T.StructField("grams", T.ArrayType(T.LongType()))] if grams else [])
     schema = T.StructType(kept + extra)
@@ -102,8 +120,13 @@ def with_class(docs: DataFrame, near: Near, grams: bool = False) -> DataFrame:
         for batch in batches:
             data, offsets = utf8_slices(batch.column("text"))
             sets = [shingles(data[offsets[i] : offsets[i + 1]], near, namer) for i in range(batch.num_rows)]
+            names = [_class(s) if len(s) else None for s in sets]
+            if only is not None:
+                at = [int.from_bytes(c[:4], "big") % 2**FILTER_BITS if c else -1 for c in names]
+                in_ = [i for i, k in enumerate(at) if k >= 0 and only.value[k >> 3] >> (k & 7) & 1]
+                batch, sets, names = batch.take(pa.array(in_, pa.int64())), [sets[i] for i in in_], [names[i] for i in in_]
             arrays = [batch.column(f.name) for f in kept]
-            arrays += [pa.array([_class(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            arrays += [pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
             if grams:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
@@ -265,12 +288,14 @@ def _regions(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     wanted = text.mapInArrow(_visits(near, 2 * n), _CELLS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, _NAMES)
     wanted = saved(wanted.distinct(), "wanted")
-    sets = with_class(text.withColumn("_u", F.lit(0)), near, grams=True).select("cls", "n", "grams")
+    only = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+    sets = with_class(text.withColumn("_u", F.lit(0)), near, grams=True, only=only).select("cls", "n", "grams")
     # one task's copies of a set are told apart by nothing: any of them will do
-    sets = saved(sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "sets")
-    each = sets.select("cls", "n", F.explode("grams").alias("gram"))
+    sets = sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    sets = saved(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    each = sets.select("id", F.explode("grams").alias("gram"))
     common = saved(each.groupBy("gram").count().where("count > 1"), "common")
-    live = each.join(common, "gram").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("count", "gram"))).alias("live"))
+    live = each.join(common, "gram").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "gram"))).alias("live")).join(sets.select("id", "cls", "n"), "id")
     own = F.col("n") - F.size("live")  # n-grams that no other class has come first in the order
     prefix = F.col("n") - F.ceil(F.col("n") * near.num / F.lit(near.den)) + 1 - own
     mass = F.aggregate("live", F.lit(0).cast("long"), lambda x, g: x + g["count"])
