@@ -22,7 +22,26 @@ _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\t\n\r {_LETTER}{_DIGIT}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 #: Others (rare letters, odd blanks) are left to the library's own rule.
 ODD = re.compile("[^\t\n\r -~¡-ſ]|<\\|")
-WORD = re.compile(f"^ ?[{_LETTER}]+$")
+
+
+def _segmenter(model):
+    """Ids of words: those of letters go to the library in long lists, one a line, others one by one."""
+    line = model.encode("\n", add_special_tokens=False).ids
+
+    def segment(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        plain, rest = [], []
+        for w in words:  # what SPLIT found ends in a letter if it is a word of letters or a contraction
+            (plain if len(line) == 1 and w[-1].isalpha() and w[0] != "'" else rest).append(w)
+        flat, sizes = flattened([e.ids for e in model.encode_batch_fast(rest, add_special_tokens=False)])
+        parts, counts = [flat], [sizes]
+        for k in range(0, len(plain), 20_000):
+            ids = np.array(model.encode_batch_fast(["\n".join([*plain[k : k + 20_000], ""])], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == line[0])
+            parts.append(np.delete(ids, ends))
+            counts.append(np.diff(ends, prepend=-1) - 1)
+        return rest + plain, np.concatenate(parts), np.concatenate(counts)
+
+    return segment
 
 
 class ByteTokenizer:
@@ -35,22 +54,8 @@ class ByteTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.line = self.model.encode("\n", add_special_tokens=False).ids
-        self.table = WordTable(self.segment)
-
-    def segment(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words of letters go to the library in long lists, one a line; other words one by one."""
-        line = self.line[0] if len(self.line) == 1 else -1
-        plain = [w for w in words if WORD.match(w)] if line >= 0 else []
-        rest = [w for w in words if not WORD.match(w)] if line >= 0 else words
-        flat, sizes = flattened([e.ids for e in self.model.encode_batch(rest, add_special_tokens=False)])
-        parts, counts = [flat], [sizes]
-        for k in range(0, len(plain), 20_000):
-            ids = np.array(self.model.encode_batch_fast(["\n".join([*plain[k : k + 20_000], ""])], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(ids == line)
-            parts.append(np.delete(ids, ends))
-            counts.append(np.diff(ends, prepend=-1) - 1)
-        return rest + plain, np.concatenate(parts), np.concatenate(counts)
+        # the table holds no reference to self: without a cycle both go as soon as their task ends
+        self.table = WordTable(_segmenter(self.model))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for a, b in slices_of(texts):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Distinct words that a task remembers at most; beyond, it starts a new table.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 1_000_000
 #: A word: its run of blanks (or marks), then all up to the next.
 WORDS = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
@@ -49,8 +49,10 @@ class WordTable:
     def numbers(self, words: list[str]) -> np.ndarray:
         """The number of each word; new words are segmented together."""
         known = self.number
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
+        found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            missing = list(dict.fromkeys(map(words.__getitem__, new.tolist())))
             if len(known) + len(missing) > self.limit and known:
                 self.clear()
                 return self.numbers(words)
@@ -58,7 +60,8 @@ class WordTable:
             known.update(zip(missing, range(len(known), len(known) + len(missing)), strict=True))
             self.flat = np.concatenate([self.flat, flat])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            found[new] = [known[words[i]] for i in new.tolist()]
+        return found
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these words one after another, how many each word has): the join back by position."""
