@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, frequency, tables
+from .plans import analytics, frequency, tables, text
 
-MODULES = (frequency, analytics, tables)
+MODULES = (frequency, analytics, tables, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -27,9 +27,12 @@ def _run(first: str, last: str) -> str:
     return "".join(map(chr, range(ord(first), ord(last) + 1)))
 
 
+WIDE = _run("０", "９") + _run("Ａ", "Ｚ") + _run("ａ", "ｚ") + WIDE_MARKS
+NARROW = _run("0", "9") + _run("A", "Z") + _run("a", "z") + HALF_MARKS
+
+
 def half_width(c: Column) -> Column:
-    wide = _run("０", "９") + _run("Ａ", "Ｚ") + _run("ａ", "ｚ") + WIDE_MARKS
-    return F.translate(c, wide, _run("0", "9") + _run("A", "Z") + _run("a", "z") + HALF_MARKS)
+    return F.translate(c, WIDE, NARROW)
 
 
 def roman_letters(c: Column) -> Column:
@@ -148,17 +151,20 @@ def size_code(values: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(values, lambda v: number_text(v.cast("string")))), "x")
 
 
+#: Patterns of a description's parts and the marks that stand for them, in order.
+TEMPLATE = [
+    (r"(?i)\b(?:GB/T|HG/T|SH/T|NB/T|ASTM|ASME|API|EN)\s*[A-Z]?\s*[0-9][0-9.\-]*", "<STD>"),
+    (r"(?i)\b(?:PN|CL|CLASS)\s*[0-9.]+", "<PRESSURE>"),
+    (r"(?i)\b(?:SCH\s*[0-9]+S?|S-[0-9]+S?|XXS|XS|STD)\b", "<THK>"),
+    (r"(?i)\bDN\s*[0-9]+(?:\s*[x×]\s*(?:DN\s*)?[0-9]+)?", "<SIZE>"),
+    (r"\b(?:20#|Q235B?|304L?|316L?|A106|A105)", "<MAT>"),
+    (r"[0-9]+(?:\.[0-9]+)?", "<N>"),
+]
+
+
 def template_signature(c: Column) -> Column:
     """A description with its standards, pressures, walls, sizes, materials and numbers replaced by marks."""
-    marks = [
-        (r"(?i)\b(?:GB/T|HG/T|SH/T|NB/T|ASTM|ASME|API|EN)\s*[A-Z]?\s*[0-9][0-9.\-]*", "<STD>"),
-        (r"(?i)\b(?:PN|CL|CLASS)\s*[0-9.]+", "<PRESSURE>"),
-        (r"(?i)\b(?:SCH\s*[0-9]+S?|S-[0-9]+S?|XXS|XS|STD)\b", "<THK>"),
-        (r"(?i)\bDN\s*[0-9]+(?:\s*[x×]\s*(?:DN\s*)?[0-9]+)?", "<SIZE>"),
-        (r"\b(?:20#|Q235B?|304L?|316L?|A106|A105)", "<MAT>"),
-        (r"[0-9]+(?:\.[0-9]+)?", "<N>"),
-    ]
-    return single_blanks(reduce(lambda x, m: F.regexp_replace(x, m[0], m[1]), marks, F.coalesce(c, F.lit(""))))
+    return single_blanks(reduce(lambda x, m: F.regexp_replace(x, m[0], m[1]), TEMPLATE, F.coalesce(c, F.lit(""))))
 
 
 def standard_digits(c: Column) -> Column:
@@ -179,11 +185,14 @@ def standard_code(c: Column) -> Column:
     return F.translate(F.regexp_replace(t, r"-(?:19|20)\d\d$", ""), " ./-", "")
 
 
+#: Nations and the standards' initials that tell them.
+NATIONS = [("国标", r"\b(?:GB|HG|SH|NB|JB|SY)\b"), ("美标", r"\b(?:ASTM|ASME|API|MSS)\b"), ("欧标", r"\b(?:EN|DIN)\b"), ("日标", r"\bJIS\b")]
+
+
 def standard_flag(c: Column) -> Column:
     """Which nations' standards a text names, joined by ' + '."""
     t = F.upper(F.coalesce(c, F.lit("")))
-    flags = [("国标", r"\b(?:GB|HG|SH|NB|JB|SY)\b"), ("美标", r"\b(?:ASTM|ASME|API|MSS)\b"), ("欧标", r"\b(?:EN|DIN)\b"), ("日标", r"\bJIS\b")]
-    return F.concat_ws(" + ", *(F.when(t.rlike(p), n) for n, p in flags))
+    return F.concat_ws(" + ", *(F.when(t.rlike(p), n) for n, p in NATIONS))
 
 
 def mixed_fraction(c: Column) -> Column:
