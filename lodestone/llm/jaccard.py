@@ -6,7 +6,8 @@ distance d from it. But most texts share no n-gram: every pivot is at distance 1
 windows work there:
 
 1. Equal sets are one class. Sets fall into size levels; per level the n-grams are dealt to k groups by hash,
-   k so large that similar sets agree in a group that is not empty. Classes that agree with no other drop out.
+   k so large that similar sets agree in a group that is not empty. Classes that agree with others in fewer
+   groups than a near set leaves alike drop out.
 2. The n-grams of those left are counted and ordered from rare to common. Near sets share one of their rarest
    n - ceil(n num / den) + 1; the classes that have an n-gram among these are its cell.
 3. The pivot of a cell is the class whose n-grams are the most common; the region of a pivot is all that share
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fmix, partitions, saved, utf8_slices
+from .common import discard, fmix, partitions, saved, utf8_slices
 from .scoring import LOWER, words_of
 from .suffixes import Names, _arrow, _batch, _groups
 
@@ -143,6 +144,10 @@ class Cells:
         self.near, self.known, self.bounds = near, {}, near.bounds(1)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
+        return np.concatenate([names for _, names, _ in self.levels(grams)])
+
+    def levels(self, grams: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
+        """(level, cells, how many of these a near set of this level shares at least): all groups but those that may differ."""
         if self.bounds[-3] <= len(grams):
             self.bounds = self.near.bounds(2 * len(grams))
         own = int(np.searchsorted(self.bounds, len(grams), side="right")) - 1
@@ -158,12 +163,12 @@ class Cells:
             if m - len(filled) >= m - differ:  # so many empty groups that only those may agree
                 empty = np.setdiff1d(np.arange(m), filled)
                 filled, content = np.concatenate([filled, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
-            out.append(fmix(fmix(content + filled.astype(np.uint64)) ^ np.uint64(k << 40)))
-        return np.concatenate(out)
+            out.append((k, fmix(fmix(content + filled.astype(np.uint64)) ^ np.uint64(k << 40)), len(filled) - differ))
+        return out
 
 
 _CELLS = "key long, kind int, chunk long, data binary"
-_NAMES = "cls binary"
+_NAMES = "cls binary, level int, need int, shared int"
 _LINKS = "a binary, b binary"
 #: Classes and n-grams that a block of a region holds, about.
 BLOCK, BLOCK_GRAMS = 768, 2_000_000
@@ -177,59 +182,65 @@ def _visits(near: Near, buckets: int, most: int = 24_000_000):
 
         namer, cells_of, part, nth = _namer(), Cells(near), TaskContext.get().partitionId(), 0
 
-        def flush(classes: dict[bytes, int], cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            name = np.concatenate([np.zeros(0, np.uint64), *cells])
-            number = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+        def flush(classes: set[bytes], entries: list[tuple[bytes, int, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+            name = np.concatenate([np.zeros(0, np.uint64), *(e[2] for e in entries)])
+            number = np.repeat(np.arange(len(entries)), [len(e[2]) for e in entries])
+            extra = np.array([(e[1], e[3]) for e in entries], "<i4").reshape(-1, 2)
             bucket = (name >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            keys = np.frombuffer(b"".join(classes), np.uint8).reshape(-1, 16)
+            keys = np.frombuffer(b"".join(e[0] for e in entries), np.uint8).reshape(-1, 16)
             rows = []
             for b in range(buckets):
                 own = order[cuts[b] : cuts[b + 1]]
                 if len(own):
                     used, at = np.unique(number[own], return_inverse=True)
-                    data = np.array([len(own), len(used)], "<i8").tobytes() + name[own].astype("<u8").tobytes() + at.astype("<u4").tobytes() + keys[used, :8].tobytes() + keys[used, 8:].tobytes()
+                    data = np.array([len(own), len(used)], "<i8").tobytes() + name[own].astype("<u8").tobytes() + at.astype("<u4").tobytes() + keys[used, :8].tobytes() + keys[used, 8:].tobytes() + extra[used].tobytes()
                     rows.append((b, 0, part * 1_000_000 + nth, data))
             for k in range(0, len(rows), 64):
                 yield _batch(rows[k : k + 64], _CELLS)
 
-        classes, cells, size = {}, [], 0
+        classes, entries, size = set(), [], 0
         for batch in batches:
             data, offsets = utf8_slices(batch.column("text"))
             for i in range(batch.num_rows):
                 grams = shingles(data[offsets[i] : offsets[i + 1]], near, namer)
                 size += int(offsets[i + 1] - offsets[i])
                 if len(grams) and (name := _class(grams)) not in classes:
-                    classes[name] = len(classes)
-                    cells.append(cells_of(grams))
+                    classes.add(name)
+                    entries += [(name, *level) for level in cells_of.levels(grams)]
                 if size >= most:
-                    yield from flush(classes, cells)
-                    classes, cells, size, nth = {}, [], 0, nth + 1
-        yield from flush(classes, cells)
+                    yield from flush(classes, entries)
+                    classes, entries, size, nth = set(), [], 0, nth + 1
+        yield from flush(classes, entries)
 
     return work
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The classes of cells that two classes or more visit."""
+    """For each class and level: how many of its cells another class visits too."""
     for _, rows in _groups(batches):
-        names, tops, lows = [], [], []
+        names, keys = [], []
         for _, _, d in rows:
-            n, used = np.frombuffer(d, "<i8", 2)
+            n, used = (int(x) for x in np.frombuffer(d, "<i8", 2))
             names.append(np.frombuffer(d, "<u8", n, 16))
-            at = np.frombuffer(d, "<u4", n, 16 + 8 * n)
-            tops.append(np.frombuffer(d, ">u8", used, 16 + 12 * n)[at])
-            lows.append(np.frombuffer(d, ">u8", used, 16 + 12 * n + 8 * used)[at])
-        name, top, low = np.concatenate(names), np.concatenate(tops).astype(np.uint64), np.concatenate(lows).astype(np.uint64)
-        order = np.lexsort((low, top, name))
-        name, top, low = name[order], top[order], low[order]
-        # neighbours of the same cell but not of the same class
-        apart = (name[1:] == name[:-1]) & ((top[1:] != top[:-1]) | (low[1:] != low[:-1]))
-        several = np.isin(name, name[1:][apart])
-        found = np.unique(np.stack([top[several], low[several]], axis=1), axis=0).astype(">u8")
+            at, begin = np.frombuffer(d, "<u4", n, 16 + 8 * n), 16 + 12 * n
+            own = np.empty(used, [("top", "u8"), ("low", "u8"), ("level", "i4"), ("need", "i4")])
+            own["top"], own["low"] = np.frombuffer(d, ">u8", used, begin), np.frombuffer(d, ">u8", used, begin + 8 * used)
+            own["level"], own["need"] = np.frombuffer(d, "<i4", 2 * used, begin + 16 * used).reshape(-1, 2).T
+            keys.append(own[at])
+        name, key = np.concatenate(names), np.concatenate(keys)
+        order = np.lexsort((key["low"], key["top"], name))
+        name, key = name[order], key[order]
+        same_cell = name[1:] == name[:-1]
+        same = same_cell & (key["top"][1:] == key["top"][:-1]) & (key["low"][1:] == key["low"][:-1])
+        first = np.concatenate([[True], ~same])  # copies of a class from several tasks count once
+        shared = np.isin(name, name[1:][same_cell & ~same]) & first
+        found, count = np.unique(key[shared], return_counts=True)
+        cls = np.stack([found["top"], found["low"]], axis=1).astype(">u8")
         for k in range(0, len(found), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found[k : k + 10_000]], pa.binary())], schema=_arrow(_NAMES))
+            to = slice(k, k + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in cls[to]], pa.binary()), pa.array(found["level"][to]), pa.array(found["need"][to]), pa.array(count[to].astype(np.int32))], schema=_arrow(_NAMES))
 
 
 def _join_blocks(near: Near):
@@ -287,7 +298,8 @@ def _regions(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     n = partitions(docs.sparkSession)
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     wanted = text.mapInArrow(_visits(near, 2 * n), _CELLS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, _NAMES)
-    wanted = saved(wanted.distinct(), "wanted")
+    enough = F.sum("shared") >= F.max("need")
+    wanted = saved(wanted.groupBy("cls", "level").agg(enough.alias("enough")).where("enough").select("cls").distinct(), "wanted")
     only = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
     sets = with_class(text.withColumn("_u", F.lit(0)), near, grams=True, only=only).select("cls", "n", "grams")
     # one task's copies of a set are told apart by nothing: any of them will do
@@ -303,8 +315,10 @@ def _regions(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     live = saved(live.select("cls", "n", F.col("live.gram").alias("live"), "weight", "prefix"), "live")
     cells = live.select("cls", "weight", F.explode("prefix").alias("gram"))
     pivots = cells.groupBy("gram").agg(F.count("*").alias("_n"), F.max_by("cls", F.struct("weight", "cls")).alias("pivot")).where("_n > 1").drop("_n")
-    regions = cells.join(pivots, "gram").where("cls <> pivot").select("pivot", "cls").distinct()
-    return live.drop("prefix"), saved(regions, "regions")
+    regions = saved(cells.join(pivots, "gram").where("cls <> pivot").select("pivot", "cls").distinct(), "regions")
+    for done in (wanted, sets, common):  # what was made of them is written
+        discard(done)
+    return live.drop("prefix"), regions
 
 
 def links(docs: DataFrame, near: Near) -> DataFrame:
