@@ -99,8 +99,8 @@ FILTER_BITS = 26
 
 
 def _filter(names: DataFrame) -> np.ndarray:
-    """Which values the first bits of names' cls take, as packed bits."""
-    at = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("long") % 2**FILTER_BITS + 1
+    """Which values the last bits of the first four bytes of names' classes take, as packed bits."""
+    at = F.pmod(F.shiftrightunsigned("head", 32), F.lit(2**FILTER_BITS)) + 1
     out = np.zeros((2**FILTER_BITS >> 15, 4096), np.uint8)
     for r in names.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
         out[r["b"] - 1] = np.frombuffer(r["bits"], np.uint8)
@@ -168,7 +168,7 @@ class Cells:
 
 
 _CELLS = "key long, kind int, chunk long, data binary"
-_NAMES = "cls binary, level int, need int, shared int"
+_NAMES = "head long, level int, need int, shared int"
 _LINKS = "a binary, b binary"
 #: Classes and n-grams that a block of a region holds, about.
 BLOCK, BLOCK_GRAMS = 768, 2_000_000
@@ -185,17 +185,19 @@ def _visits(near: Near, buckets: int, most: int = 24_000_000):
         def flush(classes: set[bytes], entries: list[tuple[bytes, int, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
             name = np.concatenate([np.zeros(0, np.uint64), *(e[2] for e in entries)])
             number = np.repeat(np.arange(len(entries)), [len(e[2]) for e in entries])
-            extra = np.array([(e[1], e[3]) for e in entries], "<i4").reshape(-1, 2)
+            # a smaller need keeps more and loses nothing
+            extra = np.array([min(e[3], 2**23) << 8 | e[1] for e in entries], "<i4")
             bucket = (name >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            keys = np.frombuffer(b"".join(e[0] for e in entries), np.uint8).reshape(-1, 16)
+            heads = np.frombuffer(b"".join(e[0][:8] for e in entries), ">i8")
             rows = []
             for b in range(buckets):
                 own = order[cuts[b] : cuts[b + 1]]
                 if len(own):
-                    used, at = np.unique(number[own], return_inverse=True)
-                    data = np.array([len(own), len(used)], "<i8").tobytes() + name[own].astype("<u8").tobytes() + at.astype("<u4").tobytes() + keys[used, :8].tobytes() + keys[used, 8:].tobytes() + extra[used].tobytes()
+                    used, count = np.unique(number[own], return_counts=True)  # ascending, as own is
+                    data = np.array([len(own), len(used)], "<i8").tobytes() + name[own].astype("<u8").tobytes() + count.astype("<u4").tobytes()
+                    data += heads[used].astype("<i8").tobytes() + extra[used].tobytes()
                     rows.append((b, 0, part * 1_000_000 + nth, data))
             for k in range(0, len(rows), 64):
                 yield _batch(rows[k : k + 64], _CELLS)
@@ -224,23 +226,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, d in rows:
             n, used = (int(x) for x in np.frombuffer(d, "<i8", 2))
             names.append(np.frombuffer(d, "<u8", n, 16))
-            at, begin = np.frombuffer(d, "<u4", n, 16 + 8 * n), 16 + 12 * n
-            own = np.empty(used, [("top", "u8"), ("low", "u8"), ("level", "i4"), ("need", "i4")])
-            own["top"], own["low"] = np.frombuffer(d, ">u8", used, begin), np.frombuffer(d, ">u8", used, begin + 8 * used)
-            own["level"], own["need"] = np.frombuffer(d, "<i4", 2 * used, begin + 16 * used).reshape(-1, 2).T
-            keys.append(own[at])
+            own = np.empty(used, [("head", "i8"), ("extra", "i4")])
+            own["head"], own["extra"] = np.frombuffer(d, "<i8", used, 16 + 8 * n + 4 * used), np.frombuffer(d, "<i4", used, 16 + 8 * n + 12 * used)
+            keys.append(np.repeat(own, np.frombuffer(d, "<u4", used, 16 + 8 * n)))
         name, key = np.concatenate(names), np.concatenate(keys)
-        order = np.lexsort((key["low"], key["top"], name))
+        order = np.lexsort((key["head"], name))
         name, key = name[order], key[order]
         same_cell = name[1:] == name[:-1]
-        same = same_cell & (key["top"][1:] == key["top"][:-1]) & (key["low"][1:] == key["low"][:-1])
+        same = same_cell & (key["head"][1:] == key["head"][:-1])
         first = np.concatenate([[True], ~same])  # copies of a class from several tasks count once
         shared = np.isin(name, name[1:][same_cell & ~same]) & first
         found, count = np.unique(key[shared], return_counts=True)
-        cls = np.stack([found["top"], found["low"]], axis=1).astype(">u8")
-        for k in range(0, len(found), 10_000):
-            to = slice(k, k + 10_000)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in cls[to]], pa.binary()), pa.array(found["level"][to]), pa.array(found["need"][to]), pa.array(count[to].astype(np.int32))], schema=_arrow(_NAMES))
+        columns = found["head"], found["extra"] & 255, found["extra"] >> 8, count.astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=_arrow(_NAMES))
 
 
 def _join_blocks(near: Near):
@@ -299,11 +297,12 @@ def _regions(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     wanted = text.mapInArrow(_visits(near, 2 * n), _CELLS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, _NAMES)
     enough = F.sum("shared") >= F.max("need")
-    wanted = saved(wanted.groupBy("cls", "level").agg(enough.alias("enough")).where("enough").select("cls").distinct(), "wanted")
+    wanted = saved(wanted.groupBy("head", "level").agg(enough.alias("enough")).where("enough").select("head").distinct(), "wanted")
     only = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
     sets = with_class(text.withColumn("_u", F.lit(0)), near, grams=True, only=only).select("cls", "n", "grams")
     # one task's copies of a set are told apart by nothing: any of them will do
-    sets = sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    head = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
+    sets = sets.withColumn("head", head).join(wanted, "head", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     sets = saved(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     each = sets.select("id", F.explode("grams").alias("gram"))
     common = saved(each.groupBy("gram").count().where("count > 1"), "common")
