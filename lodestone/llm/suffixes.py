@@ -295,6 +295,22 @@ def _exchange(sent: DataFrame, buckets: int, contexts: bool, schema: str) -> Dat
     return by_key(by_key(sent).mapInArrow(_named(buckets, contexts), _ROWS)).mapInArrow(_by_text(buckets, schema), schema)
 
 
+def _united(found: DataFrame, schema: str) -> DataFrame:
+    """A row for each tid. A text that stands in several chunks has decisions from each, and each may hold others."""
+    columns = [c for c in found.columns if c != "tid"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tid, *lists in zip(*(batch.column(c).to_pylist() for c in ("tid", *columns)), strict=True):
+                own = (v[0] if len(v) == 1 else np.unique(np.frombuffer(b"".join(v), "<i4")).tobytes() for v in lists)
+                rows.append((tid, *own))
+            if rows:
+                yield _batch(rows, schema)
+
+    return found.groupBy("tid").agg(*(F.collect_set(c).alias(c) for c in columns)).mapInArrow(work, schema)
+
+
 def _starts(n: int, numbers: bytes) -> np.ndarray:
     """Whether a window that starts at each position lies around one of these samples."""
     at = sample_positions(np.frombuffer(numbers, "<i4").astype(np.int64))
@@ -386,14 +402,13 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     long_ = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") >= WINDOW).withColumn("tid", _tid(F.col("text")))
     found = _exchange(long_.select("tid", "text").mapInArrow(_sampled(buckets), _ROWS), buckets, True, _FOUND)
-    # a text that stands in several chunks has decisions from each
-    either = lambda c: F.max_by(c, F.octet_length(c)).alias(c)
-    found = found.groupBy("tid").agg(either("covered"), either("merge"))
+    found = _united(found, _FOUND)
     groups = long_.groupBy("tid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     found = found.join(groups, "tid").withColumnRenamed("tid", "_tid")
     one = long_.join(found, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("tid", "text", "covered", "merge", "copies")
     one = saved(one, "suffix-texts")
-    repeated = _exchange(one.select("tid", "text", "merge").mapInArrow(_windowed(buckets), _ROWS), buckets, False, _WINDOWS).groupBy("tid").agg(either("repeated"))
+    repeated = _exchange(one.select("tid", "text", "merge").mapInArrow(_windowed(buckets), _ROWS), buckets, False, _WINDOWS)
+    repeated = _united(repeated, _WINDOWS).drop("unused")
     cut = one.where("copies = 1").select("tid", "text", "covered", "merge").join(repeated, "tid", "left").mapInArrow(_cut, _RESULT_DDL)
     cut = cut.where("n_removed > 0")
     if not keep_text:

@@ -72,6 +72,39 @@ def test_repeats(docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_repeats_with_decisions_split_over_chunks(spark, monkeypatch):
+    """A text in two chunks, whose rows come to every second bucket in reversed order, as from several executors."""
+    from lodestone.llm import suffixes
+
+    named = suffixes._named
+
+    def reordered(buckets, contexts):
+        inner = named(buckets, contexts)
+
+        def work(batches):
+            import pyarrow as pa
+
+            rows = [r for b in batches for r in b.to_pylist()]
+            rows.sort(key=lambda r: (r["key"], r["chunk"] * (-1) ** r["key"]))
+            yield from inner(pa.RecordBatch.from_pylist(rows[k : k + 100], suffixes._arrow(suffixes._ROWS)) for k in range(0, len(rows), 100))
+
+        return work
+
+    monkeypatch.setattr(suffixes, "_named", reordered)
+    text = prose(77, 2600)
+    texts = [text, text] + [f"{prose(200 + i, 60)} {text[600 * i : 600 * i + 420]} {prose(300 + i, 60)}" for i in range(24)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), len(texts)), "doc_id long, text string")
+    raw = [t.encode() for t in texts]
+    seen = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    for r in remove_repeats(frame).collect():
+        t = raw[r.doc_id]
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        assert gone.any() and (r.doc_id, r.n_removed) == (r.doc_id, int(gone.sum()))
+
+
 def test_language(docs, empty):
     network = language.train(docs.where("lang is not null"), steps=5)
     got = language.identify(docs, network).collect()
