@@ -14,6 +14,8 @@ from lodestone.llm.suffixes import remove_repeats
 
 #: A text whose bytes speak for no language by half or more is rejected.
 LEAST_LANGUAGE = 0.5
+#: Bytes of the shortest passage of more than 50 words: 51 words of one byte and what stands between them.
+REPEATED = 101
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated strings; what a cut leaves of a character goes too."""
-    cut = remove_repeats(docs)
+    """Texts without the bytes of repeated strings, down to passages of 51 words of any length; what a cut leaves of a character goes too."""
+    cut = remove_repeats(docs, window=REPEATED)
     rest = F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("�"), F.lit(""))
     text = F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)

@@ -1,10 +1,10 @@
 """Removal of repeated byte strings by difference-cover sampling, as in suffix-array construction.
 
 A difference cover of period v is a set of residues such that any two positions have a common distance k < v
-to sampled positions. So if the same WINDOW bytes start at i and j, then for some k both i + k and j + k are
-sampled, and what follows them agrees for at least CENTRE = WINDOW - v + 1 bytes. The classic algorithm takes
-v = 3 and triples of letters; to compare only to a depth of WINDOW bytes a sparse cover does (v = 183, 14
-residues, one position in 13), with triples of names: of the bytes left of a sampled position, of CENTRE bytes
+to sampled positions. So if the same w (`window`) bytes start at i and j, then for some k both i + k and j + k are
+sampled, and what follows them agrees for at least w - v + 1 bytes (the centre). The classic algorithm takes
+v = 3 and triples of letters; to compare only to a depth of w bytes a sparse cover does (for 400 bytes v = 183,
+14 residues, one position in 13), with triples of names: of the bytes left of a sampled position, of the centre
 from it, and of those right of them. The steps:
 
 1. sort the sampled triples by their centre: what is alone repeats nowhere;
@@ -30,9 +30,6 @@ from pyspark.sql import functions as F
 from .common import fmix, partitions, saved, utf8_slices
 
 WINDOW = 400
-ORDER = 13
-PERIOD = ORDER * ORDER + ORDER + 1
-CENTRE = WINDOW - PERIOD + 1
 #: Bytes of text that a task names at a time.
 CHUNK = 24_000_000
 SAMPLES, TABLE, KNOWN = 0, 1, 2
@@ -40,33 +37,48 @@ SAMPLES, TABLE, KNOWN = 0, 1, 2
 _ROWS = "key long, kind int, chunk long, data binary"
 
 
-def _cover() -> np.ndarray:
-    """A perfect difference set modulo PERIOD: the powers of a generator of GF(ORDER**3) that lie in a plane."""
-    q = ORDER
+def _cover(q: int) -> np.ndarray:
+    """A perfect difference set modulo q**2 + q + 1: the powers of a generator of GF(q**3), q prime, that lie in a plane."""
+    period = q * q + q + 1
     for a in range(1, q):
         for b in range(q):
             for c in range(1, q):  # x**3 = a x**2 + b x + c
                 x, plane = (1, 0, 0), []
-                for i in range(PERIOD):
+                for i in range(period):
                     if x[2] == 0:
                         plane.append(i)
                     x = (x[2] * c % q, (x[0] + x[2] * b) % q, (x[1] + x[2] * a) % q)
-                if len(plane) == q + 1 and len({(s - t) % PERIOD for s in plane for t in plane}) == PERIOD:
+                if len(plane) == q + 1 and len({(s - t) % period for s in plane for t in plane}) == period:
                     return np.array(plane, np.int64)
     raise AssertionError("no generator")
 
 
-COVER = _cover()
+class Cover:
+    """The samples for windows of `window` bytes: the sparsest cover whose period takes two thirds of a window at most."""
 
+    def __init__(self, window: int) -> None:
+        orders = [q for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31) if 3 * (q * q + q + 1) <= 2 * window]
+        if not orders:
+            raise ValueError(f"no cover for windows of {window} bytes")
+        self.window, q = window, orders[-1]
+        self.period, self.residues = q * q + q + 1, _cover(q)
+        self.centre = window - self.period + 1
 
-def sample_count(n: np.ndarray) -> np.ndarray:
-    """Sampled positions of texts of n bytes: those with CENTRE bytes from them on."""
-    room = np.maximum(0, np.where(n >= WINDOW, n - CENTRE + 1, 0))
-    return room // PERIOD * len(COVER) + np.searchsorted(COVER, room % PERIOD)
+    def sample_count(self, n: np.ndarray) -> np.ndarray:
+        """Sampled positions of texts of n bytes: those with `centre` bytes from them on."""
+        room = np.maximum(0, np.where(n >= self.window, n - self.centre + 1, 0))
+        return room // self.period * len(self.residues) + np.searchsorted(self.residues, room % self.period)
 
+    def sample_positions(self, ordinals: np.ndarray) -> np.ndarray:
+        return ordinals // len(self.residues) * self.period + self.residues[ordinals % len(self.residues)]
 
-def sample_positions(ordinals: np.ndarray) -> np.ndarray:
-    return ordinals // len(COVER) * PERIOD + COVER[ordinals % len(COVER)]
+    def starts(self, n: int, numbers: bytes) -> np.ndarray:
+        """Whether a window that starts at each position lies around one of these samples."""
+        at = self.sample_positions(np.frombuffer(numbers, "<i4").astype(np.int64))
+        marks = np.zeros(n - self.window + 2, np.int32)
+        np.add.at(marks, np.maximum(0, at - self.period + 1), 1)
+        np.add.at(marks, np.minimum(at, n - self.window) + 1, -1)
+        return np.cumsum(marks[:-1]) > 0
 
 
 class Names:
@@ -164,7 +176,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
     yield part * 1_000_000 + nth, texts, rest
 
 
-def _sampled(buckets: int):
+def _sampled(cover: Cover, buckets: int):
     """Step 1, in the task: triples of the chunk's distinct texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,15 +186,15 @@ def _sampled(buckets: int):
             keys, sizes, centres, contexts = [], [], [], []
             for text, tid in zip(texts, tids, strict=True):
                 n = len(text)
-                if n < WINDOW or tid in seen:
+                if n < cover.window or tid in seen:
                     continue
                 seen.add(tid)
                 keys.append(tid)
                 sizes.append(n)
-                at = sample_positions(np.arange(int(sample_count(np.array(n)))))
+                at = cover.sample_positions(np.arange(int(cover.sample_count(np.array(n)))))
                 sums = namer.sums(text)
-                begin, end = np.maximum(0, at - PERIOD + 1), np.minimum(n, at + WINDOW)
-                centres.append(namer.of(sums, at, at + CENTRE))
+                begin, end = np.maximum(0, at - cover.period + 1), np.minimum(n, at + cover.window)
+                centres.append(namer.of(sums, at, at + cover.centre))
                 # the context's name holds where the centre lies in it and how long it is
                 contexts.append(fmix(namer.of(sums, begin, end) ^ ((end - begin).astype(np.uint64) << np.uint64(32)) ^ (at - begin).astype(np.uint64)))
             if not keys:
@@ -253,7 +265,7 @@ def _named(buckets: int, contexts: bool):
     return work
 
 
-def _by_text(buckets: int, schema: str):
+def _by_text(cover: Cover, buckets: int, schema: str):
     """The decisions on a chunk, given to its texts: tid, numbers within the text that are covered, that merge."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +276,7 @@ def _by_text(buckets: int, schema: str):
             n = int(np.frombuffer(table, "<i8", 1)[0])
             counts, keys = np.frombuffer(table, "<i8", n, 8), table[8 + 8 * n :]
             if schema == _FOUND:
-                counts = sample_count(counts)
+                counts = cover.sample_count(counts)
             ends = np.cumsum(counts)
             both: tuple[list, list] = ([], [])
             for kind, _, d in rows:
@@ -289,10 +301,10 @@ _FOUND = "tid binary, covered binary, merge binary"
 _WINDOWS = "tid binary, repeated binary, unused binary"
 
 
-def _exchange(sent: DataFrame, buckets: int, contexts: bool, schema: str) -> DataFrame:
+def _exchange(sent: DataFrame, cover: Cover, buckets: int, contexts: bool, schema: str) -> DataFrame:
     n = partitions(sent.sparkSession)
     by_key = lambda d: d.repartition(n, "key").sortWithinPartitions("key")
-    return by_key(by_key(sent).mapInArrow(_named(buckets, contexts), _ROWS)).mapInArrow(_by_text(buckets, schema), schema)
+    return by_key(by_key(sent).mapInArrow(_named(buckets, contexts), _ROWS)).mapInArrow(_by_text(cover, buckets, schema), schema)
 
 
 def _united(found: DataFrame, schema: str) -> DataFrame:
@@ -311,16 +323,7 @@ def _united(found: DataFrame, schema: str) -> DataFrame:
     return found.groupBy("tid").agg(*(F.collect_set(c).alias(c) for c in columns)).mapInArrow(work, schema)
 
 
-def _starts(n: int, numbers: bytes) -> np.ndarray:
-    """Whether a window that starts at each position lies around one of these samples."""
-    at = sample_positions(np.frombuffer(numbers, "<i4").astype(np.int64))
-    marks = np.zeros(n - WINDOW + 2, np.int32)
-    np.add.at(marks, np.maximum(0, at - PERIOD + 1), 1)
-    np.add.at(marks, np.minimum(at, n - WINDOW) + 1, -1)
-    return np.cumsum(marks[:-1]) > 0
-
-
-def _windowed(buckets: int):
+def _windowed(cover: Cover, buckets: int):
     """Step 3: names of the windows that merge."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,11 +333,11 @@ def _windowed(buckets: int):
             for text, tid, merge in zip(texts, tids, merges, strict=True):
                 if not merge:
                     continue
-                at = np.flatnonzero(_starts(len(text), merge))
+                at = np.flatnonzero(cover.starts(len(text), merge))
                 keys.append(tid)
                 counts.append(len(at))
-                lows.append(first_namer.of(first_namer.sums(text), at, at + WINDOW))
-                highs.append((second_namer.of(second_namer.sums(text), at, at + WINDOW) >> np.uint64(32)).astype(np.uint32))
+                lows.append(first_namer.of(first_namer.sums(text), at, at + cover.window))
+                highs.append((second_namer.of(second_namer.sums(text), at, at + cover.window) >> np.uint64(32)).astype(np.uint32))
             if not keys:
                 continue
             low, high = np.concatenate(lows), np.concatenate(highs)
@@ -354,27 +357,31 @@ def _windowed(buckets: int):
     return work
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(cover: Cover):
     """Step 4: bytes under a repeated window go."""
-    for batch in batches:
-        data, offsets = utf8_slices(batch.column("text"))
-        rows = []
-        for i, (tid, covered, merge, repeated) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tid", "covered", "merge", "repeated")), strict=True)):
-            text = data[offsets[i] : offsets[i + 1]]
-            n = len(text)
-            starts = _starts(n, covered)
-            if repeated:
-                starts[np.flatnonzero(_starts(n, merge))[np.frombuffer(repeated, "<i4")]] = True
-            at = np.flatnonzero(starts)
-            marks = np.zeros(n + 1, np.int32)
-            marks[at] += 1
-            marks[at + WINDOW] -= 1
-            gone = np.cumsum(marks[:-1]) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-            kept = text[~gone].tobytes()
-            rows.append((tid, int(gone.sum()), edges.reshape(-1, 2).tolist(), kept, hashlib.sha256(kept).hexdigest()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RESULT, strict=True)], schema=_RESULT)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8_slices(batch.column("text"))
+            rows = []
+            for i, (tid, covered, merge, repeated) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tid", "covered", "merge", "repeated")), strict=True)):
+                text = data[offsets[i] : offsets[i + 1]]
+                n = len(text)
+                starts = cover.starts(n, covered)
+                if repeated:
+                    starts[np.flatnonzero(cover.starts(n, merge))[np.frombuffer(repeated, "<i4")]] = True
+                at = np.flatnonzero(starts)
+                marks = np.zeros(n + 1, np.int32)
+                marks[at] += 1
+                marks[at + cover.window] -= 1
+                gone = np.cumsum(marks[:-1]) > 0
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+                kept = text[~gone].tobytes()
+                rows.append((tid, int(gone.sum()), edges.reshape(-1, 2).tolist(), kept, hashlib.sha256(kept).hexdigest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RESULT, strict=True)], schema=_RESULT)
+
+    return work
 
 
 _RESULT = pa.schema([("tid", pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -385,37 +392,37 @@ def _tid(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, window: int = WINDOW) -> DataFrame:
     """docs with n_bytes, n_removed, spans ([begin, end) pairs), kept_sha256, and with keep_text `kept` (binary).
 
-    A byte goes if a string of WINDOW bytes that starts anywhere else too covers it: in another row, or
+    A byte goes if a string of `window` bytes that starts anywhere else too covers it: in another row, or
     elsewhere in the same text. All strings are judged on the input. Matches never cross texts.
 
-    Equal texts count as repeats of each other and are examined once. Null text: empty. Texts under WINDOW
-    bytes stay whole. Repeated ids and rows are rows like others. Empty table: empty result. Other columns
+    Equal texts count as repeats of each other and are examined once. Null text: empty. Texts under
+    `window` bytes stay whole. Repeated ids and rows are rows like others. Empty table: empty result. Other columns
     stay; columns named like a result are replaced. Cuts may fall within a character: `kept` is bytes.
     """
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    cover, buckets = Cover(window), 4 * partitions(spark)
     results = ["n_bytes", "n_removed", "spans", "kept_sha256", "kept"]
     docs = docs.drop(*results)
     text = F.coalesce(F.col("text"), F.lit(""))
-    long_ = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") >= WINDOW).withColumn("tid", _tid(F.col("text")))
-    found = _exchange(long_.select("tid", "text").mapInArrow(_sampled(buckets), _ROWS), buckets, True, _FOUND)
+    long_ = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") >= window).withColumn("tid", _tid(F.col("text")))
+    found = _exchange(long_.select("tid", "text").mapInArrow(_sampled(cover, buckets), _ROWS), cover, buckets, True, _FOUND)
     found = _united(found, _FOUND)
     groups = long_.groupBy("tid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     found = found.join(groups, "tid").withColumnRenamed("tid", "_tid")
     one = long_.join(found, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("tid", "text", "covered", "merge", "copies")
     one = saved(one, "suffix-texts")
-    repeated = _exchange(one.select("tid", "text", "merge").mapInArrow(_windowed(buckets), _ROWS), buckets, False, _WINDOWS)
+    repeated = _exchange(one.select("tid", "text", "merge").mapInArrow(_windowed(cover, buckets), _ROWS), cover, buckets, False, _WINDOWS)
     repeated = _united(repeated, _WINDOWS).drop("unused")
-    cut = one.where("copies = 1").select("tid", "text", "covered", "merge").join(repeated, "tid", "left").mapInArrow(_cut, _RESULT_DDL)
+    cut = one.where("copies = 1").select("tid", "text", "covered", "merge").join(repeated, "tid", "left").mapInArrow(_cut(cover), _RESULT_DDL)
     cut = cut.where("n_removed > 0")
     if not keep_text:
         cut = cut.drop("kept")
     cut = cut.unionByName(groups.where("copies > 1").select("tid"), allowMissingColumns=True)
     rows = docs.withColumn("_text", text.cast("binary")).withColumn("n_bytes", F.octet_length("_text").cast("long"))
-    rows = rows.withColumn("_own", F.sha2("_text", 256)).withColumn("tid", F.when(F.col("n_bytes") >= WINDOW, F.unhex(F.md5("_text"))))
+    rows = rows.withColumn("_own", F.sha2("_text", 256)).withColumn("tid", F.when(F.col("n_bytes") >= window, F.unhex(F.md5("_text"))))
     rows = rows if keep_text else rows.drop("text", "_text")
     rows = rows.join(cut.withColumn("_hit", F.lit(True)), "tid", "left")
     whole = F.col("_hit").isNotNull() & F.col("n_removed").isNull()  # a text with copies

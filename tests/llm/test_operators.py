@@ -105,6 +105,37 @@ def test_repeats_with_decisions_split_over_chunks(spark, monkeypatch):
         assert gone.any() and (r.doc_id, r.n_removed) == (r.doc_id, int(gone.sum()))
 
 
+@pytest.mark.parametrize("word", ["a", "of", "river", "cloudberry"])
+def test_pipeline_drops_repeated_passages_of_more_than_50_words(spark, word):
+    import corpus_pipeline
+
+    rng = random.Random(word)
+    passage = " ".join(word[: rng.randint(1, len(word))] if len(word) > 1 else rng.choice("abcdefgh") for _ in range(51))
+    texts = [f"{prose(700 + i, 40)} {passage} {prose(800 + i, 40)}" for i in range(3)] + [prose(900, 120)]
+    frame = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, frame, "").collect()}
+    assert got[3] == texts[3]
+    for i in range(3):
+        assert passage not in got[i] and got[i].startswith(prose(700 + i, 40)[:-1]) and got[i].endswith(prose(800 + i, 40)[1:])
+
+
+@pytest.mark.parametrize("window", [20, 101])
+def test_repeats_of_other_windows(spark, window):
+    rng = random.Random(window)
+    texts = ["".join(rng.choice("abcdef") for _ in range(rng.randint(0, 300))) for _ in range(30)]
+    texts += [texts[i][:60] + texts[i + 1][-window - i :] + "z" * (i * window // 4) for i in range(12)]
+    raw = [t.encode() for t in texts]
+    seen = Counter(t[i : i + window] for t in raw for i in range(len(t) - window + 1))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in remove_repeats(frame, window=window).collect():
+        t = raw[r.doc_id]
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - window + 1):
+            if seen[t[i : i + window]] > 1:
+                gone[i : i + window] = True
+        assert bytes(r.kept) == np.frombuffer(t, np.uint8)[~gone].tobytes()
+
+
 def test_language(docs, empty):
     network = language.train(docs.where("lang is not null"), steps=5)
     got = language.identify(docs, network).collect()
