@@ -84,10 +84,27 @@ def margin_score(scores: Column) -> Column:
     return 0.6 * first + 0.4 * F.coalesce(F.try_divide(first - second, first), F.lit(0.0))
 
 
-def queue_position(jobs: DataFrame, queued: Column, created: str, key: str, most: int = 1000) -> DataFrame:
-    """The first `most` queued jobs with their place in the queue."""
-    head = jobs.where(queued).orderBy(created, key).limit(most)
-    return head.withColumn("position", F.row_number().over(W.orderBy(created, key)))
+def queue_position(jobs: DataFrame, queued: Column, created: str, key: str) -> DataFrame:
+    """All queued jobs with their place in the queue.
+
+    Ranges of (created, key) with about as many jobs each are ranked apart, and a range's places follow those of
+    the ranges before it. Their bounds come from a sample of about 100 rows a range, at places hashed from the key.
+    """
+    waiting = jobs.where(queued)
+    spark = jobs.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.struct(created, key)
+    hashed = (F.pmod(F.xxhash64(key), F.lit(2**40)) + 1) / float(2**40 + 1)
+    sample = waiting.where(hashed <= 100 * ranges / max(1, waiting.count())).select(at.alias("at"))
+    found = sample.orderBy("at").collect()
+    bounds = spark.createDataFrame([found[i * len(found) // ranges] for i in range(1, ranges)] if found else [], sample.schema)
+    bounds = bounds.agg(F.collect_list("at").alias("_bounds"))
+    nth = F.size(F.filter("_bounds", lambda b: b <= at))
+    dealt = waiting.crossJoin(F.broadcast(bounds)).withColumn("_range", nth).drop("_bounds")
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(created, key)) + F.col("_before")
+    return dealt.join(F.broadcast(offsets), "_range").withColumn("position", place).drop("_range", "_before")
 
 
 def round_robin(rows: DataFrame, category: str, key: str) -> DataFrame:
