@@ -70,7 +70,7 @@ def _bag(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return buckets.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, features: int = 20_000, clean: float = 4.0, epochs: int = 12, batch: int = 64, seed: int = 9) -> Classifier:
+def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, features: int = 20_000, epochs: int = 12, batch: int = 64, seed: int = 9) -> Classifier:
     """Embeddings and softmax trained together on whole texts; the loss weighs both labels alike."""
     y = np.array(labels)
     if len(set(labels)) < 2:  # nothing to tell apart
@@ -92,7 +92,7 @@ def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, feat
     table = (rng.normal(size=(len(used), size)) * 0.1).astype(np.float32)
     outer, bias = (rng.normal(size=(size, 2)) * 0.3).astype(np.float32), np.zeros(2, np.float32)
     adam = Adam([table, outer, bias], 0.05)
-    norm = 1 / (n1 + clean * n0) * len(y)
+    alike = len(y) / (2 * np.array([n0, n1]))  # rows of a label weigh by the inverse of its count
     epochs = max(epochs, -(-400 * batch // len(bags)))
     steps = epochs * -(-len(bags) // batch)
     step = 0
@@ -111,7 +111,7 @@ def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, feat
             chance /= chance.sum(axis=1, keepdims=True)
             error = chance.copy()
             error[np.arange(len(own)), y[own]] -= 1
-            error *= (np.where(y[own], 1, clean) * norm / len(own))[:, None]
+            error *= (alike[y[own]] / len(own))[:, None]
             to_table = np.zeros_like(table)
             to_table[active] = dense.T @ (error @ outer.T)
             adam.apply([to_table, hidden.T @ error, error.sum(axis=0)], 1 - 0.9 * step / steps)

@@ -200,6 +200,15 @@ def test_toxicity(docs, empty, spark):
     assert toxicity.train(bad, bad).log_odds(["you scumbagg"])[0] > toxicity.train(bad, bad).log_odds(["you neighbour"])[0]
 
 
+def test_toxicity_charges_the_odds_of_labels_once(spark):
+    """Two texts; of the one 70 of 100 rows are toxic, of the other 30 of 800."""
+    kinds = [("grimble flotsam", 70, 30), ("harbour lantern", 30, 770)]
+    rows_ = [(t, label) for t, toxic, clean in kinds for label in [1] * toxic + [0] * clean]
+    frame = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(rows_)], "doc_id long, text string, toxic int")
+    odds = toxicity.train(frame, frame).log_odds([t for t, _, _ in kinds])
+    assert np.abs(1 / (1 + np.exp(-odds)) - [0.7, 30 / 800]).max() < 0.1
+
+
 def test_top_k(spark):
     rng = random.Random(4)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(230)]
