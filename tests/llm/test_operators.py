@@ -287,6 +287,15 @@ def test_scoring(docs, empty):
     assert scoring.score(empty.withColumn("held_out", F.lit(False)), model, path).count() == 0
 
 
+def test_subwords_outside_the_sample_have_buckets(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    words = ["river", "mountain", "silver", "window", "garden", "paper"]
+    frame = spark.createDataFrame([(i, f"{words[i % 6]} " * 40) for i in range(18)], "doc_id long, text string")
+    model = scoring.train(frame, path, sample=1, steps=1, buckets=40)
+    ids, _ = scoring.Vocabulary(path).segment([w.encode() for w in words])
+    assert model.bucket_of[ids].max() < 38 and len(set(model.bucket_of[ids])) == len(set(ids))
+
+
 def test_a_model_is_a_distribution():
     class_of, bucket_of = scoring.grouped(np.array([5.0, 9, 1, 0, 3, 2]), 4, 5)
     model = scoring.Attention.start(np.random.default_rng(0).integers(0, 9, (5, 6)).astype(float), bucket_of, class_of, 4, 6, 3, 4, 0)
