@@ -160,10 +160,11 @@ class Cells:
             order = np.argsort(group, kind="stable")
             filled, start = np.unique(group[order], return_index=True)
             content = np.add.reduceat(fmix(grams[order] + np.uint64(k)), start)
-            if m - len(filled) >= m - differ:  # so many empty groups that only those may agree
+            need = max(1, len(filled) - differ)
+            if m - len(filled) >= m - differ:  # so many empty groups that only those may agree; a near set may not visit them
                 empty = np.setdiff1d(np.arange(m), filled)
                 filled, content = np.concatenate([filled, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
-            out.append((k, fmix(fmix(content + filled.astype(np.uint64)) ^ np.uint64(k << 40)), len(filled) - differ))
+            out.append((k, fmix(fmix(content + filled.astype(np.uint64)) ^ np.uint64(k << 40)), need))
         return out
 
 

@@ -381,6 +381,18 @@ def test_near_sets_meet_in_a_cell():
         assert met > 100
 
 
+@pytest.mark.parametrize("near", [Near(4, 85, 100), Near(5, 80, 100)])
+def test_near_sets_share_as_many_cells_as_they_need(near):
+    rng, cells = np.random.default_rng(1), Cells(near)
+    for size in np.repeat([3, 4, 5, 6, 8, 12], 2500):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.append(a, rng.integers(0, 2**63, 1).astype(np.uint64)))
+        if near.den * len(a) >= near.num * len(b):
+            of = [{k: (names, need) for k, names, need in cells.levels(s)} for s in (a, b)]
+            shared = {k: len(np.intersect1d(of[0][k][0], of[1][k][0])) for k in of[0].keys() & of[1].keys()}
+            assert all(any(n >= own[k][1] for k, n in shared.items()) for own in of)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
