@@ -274,7 +274,7 @@ def test_sharding(docs, empty):
 def test_scoring(docs, empty):
     path = tokenizer_path("byte_bpe_50k.json")
     own = docs.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
-    model = scoring.train(own.where("not held_out"), path, sample=20, steps=3)
+    model = scoring.train(own.where("not held_out"), path, sample=20, share=0.5, steps=3)
     got = scoring.score(own, model, path).collect()
     word, low = re.compile(r"[^\x20\x09-\x0D]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = [(r.doc_id, r.held_out, [*word.findall((r.text or "").translate(low)), None]) for r in own.collect()]
@@ -287,33 +287,81 @@ def test_scoring(docs, empty):
     assert scoring.score(empty.withColumn("held_out", F.lit(False)), model, path).count() == 0
 
 
-def test_subwords_outside_the_sample_have_buckets(spark):
-    path = tokenizer_path("byte_bpe_50k.json")
-    words = ["river", "mountain", "silver", "window", "garden", "paper"]
-    frame = spark.createDataFrame([(i, f"{words[i % 6]} " * 40) for i in range(18)], "doc_id long, text string")
-    model = scoring.train(frame, path, sample=1, steps=1, buckets=40)
-    ids, _ = scoring.Vocabulary(path).segment([w.encode() for w in words])
-    assert model.bucket_of[ids].max() < 38 and len(set(model.bucket_of[ids])) == len(set(ids))
+def spelled(vocabulary, word):
+    """Greedy longest match, byte by byte."""
+    entries, raw, out = {e: i + 1 for i, e in enumerate(vocabulary.entries)}, b" " + word, []
+    while raw:
+        n = max(n for n in range(1, scoring.LONGEST + 1) if raw[:n] in entries and n <= len(raw))
+        out.append(entries[raw[:n]])
+        raw = raw[n:]
+    return out
 
 
-def test_a_model_is_a_distribution():
-    class_of, bucket_of = scoring.grouped(np.array([5.0, 9, 1, 0, 3, 2]), 4, 5)
-    model = scoring.Attention.start(np.random.default_rng(0).integers(0, 9, (5, 6)).astype(float), bucket_of, class_of, 4, 6, 3, 4, 0)
-    total = sum(10 ** model.log10(np.array([2, 1, i]), np.array([3]))[0] for i in range(6))
+def test_pair_counts_cover_all_texts(docs):
+    path = tokenizer_path("byte_bpe_50k.json")
+    vocabulary, want = scoring.Vocabulary(path), Counter()
+    bucket_of = scoring.buckets_of(vocabulary)
+    for (text,) in docs.select(F.coalesce("text", F.lit(""))).collect():
+        before = len(bucket_of) - 1
+        for i in [i for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower()) for i in spelled(vocabulary, w)] + [0]:
+            want[int(bucket_of[before]), i] += 1
+            before = i
+    got = scoring.pair_counts(docs.withColumn("text", F.coalesce("text", F.lit(""))), path)
+    assert {(int(b), int(i)): int(got[b, i]) for b, i in zip(*np.nonzero(got), strict=True)} == want
+
+
+def small_model(pairs, context=3, stride=4):
+    n = pairs.shape[1]
+    return scoring.Attention.start(pairs, np.append(np.arange(n) % len(pairs), 0), 4, 6, context, stride, 0)
+
+
+def test_a_model_is_a_distribution(monkeypatch):
+    monkeypatch.setattr(scoring, "ALONE", 5)
+    monkeypatch.setattr(scoring, "CLASSES", 3)
+    model = small_model(np.random.default_rng(0).integers(0, 9, (5, 30)).astype(float))
+    assert len(model.inside) >= 2
+    total = sum(10 ** model.log10(np.array([2, 1, i]), np.array([3]))[0] for i in range(30))
     assert abs(total / 10 ** model.log10(np.array([2, 1]), np.array([2]))[0] - 1) < 1e-5
 
 
+def test_gradients_of_the_attention(monkeypatch):
+    monkeypatch.setattr(scoring, "ALONE", 5)
+    monkeypatch.setattr(scoring, "CLASSES", 3)
+    rng = np.random.default_rng(1)
+    model = small_model(rng.integers(0, 9, (5, 30)).astype(float))
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, target, counted, _ = model.windows(rng.integers(0, 30, 17), np.array([9, 8]))
+    _, grads = model.gradients(x, target, counted)
+    for name, grad in zip(model.NAMES, grads, strict=True):
+        for at in {tuple(rng.integers(0, s) for s in grad.shape) for _ in range(6)}:
+            old, loss = model.p[name][at], []
+            for d in (1e-4, -1e-4):
+                model.p[name][at] = old + d
+                loss.append(model.gradients(x, target, counted)[0])
+            model.p[name][at] = old
+            assert abs((loss[0] - loss[1]) / 2e-4 - grad[at]) < 2e-3, name
+
+
 def test_windows_score_each_token_once_in_context():
-    class_of, bucket_of = scoring.grouped(np.arange(9.0), 4, 5)
-    model = scoring.Attention.start(np.ones((5, 9)), bucket_of, class_of, 4, 6, 3, 4, 0)
-    sizes = np.array([1, 9, 4])
-    x, real, target, counted, owner = model.windows(np.arange(14) % 9, sizes)
+    model, sizes = small_model(np.ones((5, 9))), np.array([1, 9, 4])
+    x, target, counted, owner = model.windows(np.arange(14) % 9, sizes)
     assert [int(counted[owner == k].sum()) for k in range(3)] == sizes.tolist()
     assert target[counted].tolist() == (np.arange(14) % 9).tolist()
     together = model.log10(np.arange(14) % 9, sizes)
     assert abs(model.log10(np.arange(1, 10) % 9, np.array([9]))[0] - together[1]) < 1e-5
 
 
+def test_the_model_learns_more_than_word_counts(spark):
+    """Held-out texts are likelier than under word counts plus one, and refining on more rows helps."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    frame = spark.createDataFrame([(i, prose(500 + i, 150), i % 5 == 0) for i in range(150)], "doc_id long, text string, held_out boolean").repartition(2).cache()
+    few = scoring.train(frame.where("not held_out"), path, share=0, steps=400)
+    more = scoring.refined(few, frame.where("not held_out"), path, 1.0)
+    got = scoring.score(frame, few, path).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+    assert scoring.score(frame, more, path).where("held_out").agg(F.sum("score")).first()[0] > got[0]
+
+
 def test_fingerprints(docs, empty):
     got = fingerprint_pairs(docs).collect()
     order = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect())
