@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -21,25 +22,47 @@ _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 #: The byte-level pre-tokenizer's rule, over the characters that PLAIN allows.
 SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\t\n\r {_LETTER}{_DIGIT}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 #: Others (rare letters, odd blanks) are left to the library's own rule.
-ODD = re.compile("[^\t\n\r -~¡-ſ]|<\\|")
+ODD = re.compile("[^\t\n\r -~¡-ſ]")
+#: Distinct words that a task remembers at most; beyond, it starts a new table.
+TABLE_WORDS = 500_000
 
 
-def _segmenter(model):
-    """Ids of words: those of letters go to the library in long lists, one a line, others one by one."""
-    line = model.encode("\n", add_special_tokens=False).ids
+def _byte_values() -> dict[str, int]:
+    """The byte for which each sign of a byte-level vocabulary stands: its own if it prints, or the next from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+def _merger(path: str):
+    """The vocabulary as an encoding that takes the lines of a text for words, or None if it can't give the same ids.
+
+    It joins whatever makes the entry of the smallest id first, so ids must rise in the order of the merges.
+    """
+    import tiktoken
+
+    with open(path) as f:
+        model = json.load(f)["model"]
+    value, vocabulary = _byte_values(), model["vocab"]
+    order = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in order or any(a >= b for a, b in zip(order, order[1:], strict=False)):
+        return None
+    entries = {bytes(value[c] for c in text): i for text, i in vocabulary.items() if all(c in value for c in text)}
+    return tiktoken.Encoding("words", pat_str=r"[^\n]+|\n", mergeable_ranks=entries, special_tokens={})
+
+
+def _segmenter(model, merger):
+    """Ids of words: those of letters in one text, one a line, others each through the library's whole rule."""
 
     def segment(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         plain, rest = [], []
         for w in words:  # what SPLIT found ends in a letter if it is a word of letters or a contraction
-            (plain if len(line) == 1 and w[-1].isalpha() and w[0] != "'" else rest).append(w)
+            (plain if merger and w[-1].isalpha() and w[0] != "'" else rest).append(w)
         flat, sizes = flattened([e.ids for e in model.encode_batch_fast(rest, add_special_tokens=False)])
-        parts, counts = [flat], [sizes]
-        for k in range(0, len(plain), 20_000):
-            ids = np.array(model.encode_batch_fast(["\n".join([*plain[k : k + 20_000], ""])], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(ids == line[0])
-            parts.append(np.delete(ids, ends))
-            counts.append(np.diff(ends, prepend=-1) - 1)
-        return rest + plain, np.concatenate(parts), np.concatenate(counts)
+        if plain:
+            ids = np.array(merger.encode_ordinary("\n".join([*plain, ""])), np.int32)
+            ends = np.flatnonzero(ids == merger.encode_ordinary("\n")[0])
+            flat, sizes = np.concatenate([flat, np.delete(ids, ends)]), np.concatenate([sizes, np.diff(ends, prepend=-1) - 1])
+        return rest + plain, flat, sizes
 
     return segment
 
@@ -55,11 +78,11 @@ class ByteTokenizer:
 
         self.model = Tokenizer.from_file(path)
         # the table holds no reference to self: without a cycle both go as soon as their task ends
-        self.table = WordTable(_segmenter(self.model))
+        self.table = WordTable(_segmenter(self.model, _merger(path)), TABLE_WORDS)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for a, b in slices_of(texts):
-            per_text = [None if ODD.search(t) else SPLIT.findall(t) for t in texts[a:b]]
+            per_text = [None if ODD.search(t) or "<|" in t else SPLIT.findall(t) for t in texts[a:b]]
             words = [w for ws in per_text if ws for w in ws]
             ids, sizes = self.table.ids(self.table.numbers(words))
             ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -23,7 +23,7 @@ from .common import held_out, saved
 from .fingerprints import fingerprint_pairs
 from .jaccard import Near, group_near
 from .packing import pack_documents
-from .pieces import decode, encode
+from .pieces import encode
 from .sharding import shard_by_bytes
 from .suffixes import remove_repeats
 from .topk import quantised, top_k
@@ -57,7 +57,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    rows = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path)
+    rows = encode(_documents(spark, sf_dir).select("doc_id", "text"), path, decoded="decoded", keep_text=False)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -182,6 +182,9 @@ def test_pieces(docs, empty):
         want = model.encode(r.text or "")
         assert (list(r.ids), r.decoded) == (want, model.decode(want))
     assert got.columns == [*docs.columns, "ids", "decoded"]
+    both = encode(docs, path, decoded="decoded", keep_text=False)
+    assert by(both, "doc_id", "ids", "decoded") == by(got, "doc_id", "ids", "decoded")
+    assert both.columns == [c for c in got.columns if c != "text"]
     assert encode(empty, path).count() == 0
 
 
