@@ -187,7 +187,7 @@ def _visits(near: Near, buckets: int, most: int = 24_000_000):
             name = np.concatenate([np.zeros(0, np.uint64), *(e[2] for e in entries)])
             number = np.repeat(np.arange(len(entries)), [len(e[2]) for e in entries])
             # a smaller need keeps more and loses nothing
-            extra = np.array([min(e[3], 2**23) << 8 | e[1] for e in entries], "<i4")
+            extra = np.array([min(e[3], 2**23 - 1) << 8 | e[1] for e in entries], "<i4")
             bucket = (name >> np.uint64(40)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -346,13 +346,12 @@ def links(docs: DataFrame, near: Near) -> DataFrame:
 
 
 def group_near(docs: DataFrame, near: Near, key: str = "doc_id") -> DataFrame:
-    """docs with n_shingles and component_id: the smallest key that links reach from a row, itself included.
+    """key, n_shingles and component_id of each row of docs: the smallest key that links reach from a row, itself included.
 
     Null and empty texts and texts without words have no n-gram and are linked with nothing: their component
     is their own key. Equal sets are linked. Rows with a null key count as larger than all others. Repeated
-    rows and keys: each row is in the component of its text. Empty table: empty result. Other columns stay.
+    rows and keys: each row is in the component of its text. Empty table: empty result. Other columns are left out.
     """
-    docs = docs.drop("n_shingles", "component_id")
     named = saved(with_class(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), near), "classes")
     roots = components(links(docs, near))
     least = named.where("cls is not null").groupBy("cls").agg(F.min(key).alias("least")).join(roots, "cls", "left")

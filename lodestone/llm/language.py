@@ -157,16 +157,16 @@ def fit(texts: list[bytes], labels: list[str], hidden: int = 8, steps: int = 350
     return net
 
 
-def train(docs: DataFrame, sample: int = 4000, excerpt: int = 600, most_labels: int = 200, **how) -> Network | None:
+def train(docs: DataFrame, sample: int = 4000, excerpt: int = 600, **how) -> Network | None:
     """A network from a bounded sample of docs: text, lang.
 
-    `sample` rows are drawn, balanced over the `most_labels` most frequent labels, and of each an excerpt of
-    `excerpt` characters at a hashed place. No usable row: None.
+    `sample` rows are drawn, balanced over the labels (as many of these as there are rows to draw), and of each an
+    excerpt of `excerpt` characters at a hashed place. No usable row: None.
     """
     rows = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     at = F.floor(unit_hash(F.col("doc_id"), F.lit(3)) * F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
     rows = rows.select("doc_id", "lang", F.substring("text", at, F.lit(excerpt)).alias("excerpt"))
-    found = balanced(rows, "lang", "doc_id", sample, most_labels).select("excerpt", "lang").collect()
+    found = balanced(rows, "lang", "doc_id", sample, sample).select("excerpt", "lang").collect()
     return fit([r["excerpt"].encode() for r in found], [r["lang"] for r in found], **how) if found else None
 
 
@@ -195,8 +195,9 @@ def identify(docs: DataFrame, net: Network | None, length: int = 256, many: int
     score 0, where text is null or has no letter, and everywhere if there was nothing to learn from. Only
     text is read; columns lang_pred and score are replaced, all others stay.
     """
-    docs = docs.drop("lang_pred", "score").withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    kept = docs.drop("_letters").schema.fields
+    docs = docs.drop("lang_pred", "score")
+    kept, flag = docs.schema.fields, "_".join(["letters", *docs.columns])  # a name that no column has
+    docs = docs.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +213,7 @@ def identify(docs: DataFrame, net: Network | None, length: int = 256, many: int
                     for c in range(len(model.labels)):
                         total[:, c] += np.bincount(owner, chance[:, c].sum(axis=0), batch.num_rows)
                 total /= np.maximum(1, np.diff(offsets))[:, None]
-                letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+                letters = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
                 best = total.argmax(axis=1)
                 names = [model.labels[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
                 scores = np.where(letters, np.clip(total.max(axis=1), 0, 1), 0.0)

@@ -357,8 +357,8 @@ def _windowed(cover: Cover, buckets: int):
     return work
 
 
-def _cut(cover: Cover):
-    """Step 4: bytes under a repeated window go."""
+def _cut(cover: Cover, whole_characters: bool):
+    """Step 4: bytes under a repeated window go, and with whole_characters what they leave of a character."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,6 +375,9 @@ def _cut(cover: Cover):
                 marks[at] += 1
                 marks[at + cover.window] -= 1
                 gone = np.cumsum(marks[:-1]) > 0
+                if whole_characters and n:
+                    of = np.cumsum(text & 0xC0 != 0x80) - 1  # the character of each byte
+                    gone = (np.bincount(of, gone) > 0)[of]
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                 kept = text[~gone].tobytes()
                 rows.append((tid, int(gone.sum()), edges.reshape(-1, 2).tolist(), kept, hashlib.sha256(kept).hexdigest()))
@@ -392,7 +395,7 @@ def _tid(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, window: int = WINDOW, whole_characters: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, spans ([begin, end) pairs), kept_sha256, and with keep_text `kept` (binary).
 
     A byte goes if a string of `window` bytes that starts anywhere else too covers it: in another row, or
@@ -400,7 +403,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, window: int = WINDOW
 
     Equal texts count as repeats of each other and are examined once. Null text: empty. Texts under
     `window` bytes stay whole. Repeated ids and rows are rows like others. Empty table: empty result. Other columns
-    stay; columns named like a result are replaced. Cuts may fall within a character: `kept` is bytes.
+    stay, whatever their names; columns named like a result are replaced. Cuts may fall within a character: `kept`
+    is bytes. With whole_characters all bytes of such a character go.
     """
     spark = docs.sparkSession
     cover, buckets = Cover(window), 4 * partitions(spark)
@@ -416,19 +420,20 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, window: int = WINDOW
     one = saved(one, "suffix-texts")
     repeated = _exchange(one.select("tid", "text", "merge").mapInArrow(_windowed(cover, buckets), _ROWS), cover, buckets, False, _WINDOWS)
     repeated = _united(repeated, _WINDOWS).drop("unused")
-    cut = one.where("copies = 1").select("tid", "text", "covered", "merge").join(repeated, "tid", "left").mapInArrow(_cut(cover), _RESULT_DDL)
+    cut = one.where("copies = 1").select("tid", "text", "covered", "merge").join(repeated, "tid", "left").mapInArrow(_cut(cover, whole_characters), _RESULT_DDL)
     cut = cut.where("n_removed > 0")
     if not keep_text:
         cut = cut.drop("kept")
     cut = cut.unionByName(groups.where("copies > 1").select("tid"), allowMissingColumns=True)
-    rows = docs.withColumn("_text", text.cast("binary")).withColumn("n_bytes", F.octet_length("_text").cast("long"))
+    rest = F.struct(*(F.col(c) for c in docs.columns if keep_text or c != "text")).alias("row")
+    rows = docs.select(rest, text.cast("binary").alias("_text")).withColumn("n_bytes", F.octet_length("_text").cast("long"))
     rows = rows.withColumn("_own", F.sha2("_text", 256)).withColumn("tid", F.when(F.col("n_bytes") >= window, F.unhex(F.md5("_text"))))
-    rows = rows if keep_text else rows.drop("text", "_text")
+    rows = rows if keep_text else rows.drop("_text")
     rows = rows.join(cut.withColumn("_hit", F.lit(True)), "tid", "left")
     whole = F.col("_hit").isNotNull() & F.col("n_removed").isNull()  # a text with copies
     none = F.array().cast("array<array<long>>")
     out = rows.select(
-        *(c for c in docs.columns if keep_text or c != "text"),
+        "row.*",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce(F.col("n_removed"), F.lit(0))).alias("n_removed"),
         F.when(whole, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.coalesce("spans", none)).alias("spans"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .language import Adam
-from .sampling import balanced
+from .sampling import balanced, unit_hash
 
 GRAMS = (3, 4, 5, 6)
 SPACE = 32
@@ -124,10 +124,11 @@ def fit(texts: list[str], labels: list[int], bits: int = 18, size: int = 8, feat
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 10_000, **how) -> Classifier:
     """A classifier from a bounded sample of docs (doc_id, text) and labels (doc_id, toxic: 0 or 1).
 
-    `sample` rows at most, balanced over both labels, of texts of at most `longest` characters. Ids meet labels
-    without their texts; the drawn ids, at most `sample`, are broadcast to fetch these.
+    `sample` rows at most, balanced over both labels; of a text of more than `longest` characters so many from a
+    hashed place on. Ids meet labels without their texts; the drawn ids, at most `sample`, are broadcast to fetch these.
     """
-    short = docs.select("doc_id", "text").where(F.length("text") <= longest)
+    at = F.floor(unit_hash(F.col("doc_id"), F.lit(11)) * F.greatest(F.lit(1), F.length("text") - longest)).cast("int") + 1
+    short = docs.where("text is not null").select("doc_id", F.substring("text", at, F.lit(longest)).alias("text"))
     marks = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     marked = short.select("doc_id").join(marks, "doc_id")
     chosen = balanced(marked, "toxic", "doc_id", sample, 2).distinct()

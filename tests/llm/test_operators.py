@@ -69,6 +69,10 @@ def test_repeats(docs, empty):
         want[key, len(t), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept] += 1
     assert by(remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "kept_sha256", "kept") == want
     assert sum(k[2] for k in want) > 3000
+    assert by(remove_repeats(docs), *docs.columns) == by(docs, *docs.columns)  # others stay, clashing names too
+    whole = remove_repeats(docs, window=101, whole_characters=True)
+    for kept, n_removed, text in whole.select("kept", "n_removed", F.coalesce("text", F.lit(""))).collect():
+        assert len(kept.decode().encode()) == len(text.encode()) - n_removed
     assert remove_repeats(empty).count() == 0
 
 
@@ -354,15 +358,14 @@ def test_windows_score_each_token_once_in_context():
     assert abs(model.log10(np.arange(1, 10) % 9, np.array([9]))[0] - together[1]) < 1e-5
 
 
-def test_the_model_learns_more_than_word_counts(spark):
-    """Held-out texts are likelier than under word counts plus one, and refining on more rows helps."""
+def test_attention_learns(spark):
+    """Held-out texts are likelier with attention than by counts alone, and likelier still once it is refined on more rows."""
     path = tokenizer_path("byte_bpe_50k.json")
     frame = spark.createDataFrame([(i, prose(500 + i, 150), i % 5 == 0) for i in range(150)], "doc_id long, text string, held_out boolean").repartition(2).cache()
-    few = scoring.train(frame.where("not held_out"), path, share=0, steps=400)
-    more = scoring.refined(few, frame.where("not held_out"), path, 1.0)
-    got = scoring.score(frame, few, path).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
-    assert scoring.score(frame, more, path).where("held_out").agg(F.sum("score")).first()[0] > got[0]
+    train = frame.where("not held_out")
+    start, few = (scoring.train(train, path, share=0, steps=steps) for steps in (0, 100))
+    total = lambda model: scoring.score(frame, model, path).where("held_out").agg(F.sum("score")).first()[0]
+    assert total(start) < total(few) < total(scoring.refined(few, train, path, 1.0))
 
 
 def test_fingerprints(docs, empty):
