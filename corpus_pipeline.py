@@ -19,14 +19,17 @@ REPEATED = 101
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to the labelled ones among them, doesn't find toxic."""
+    """Documents that the classifier, fitted to the labelled ones among them, doesn't find toxic.
+
+    Null and empty texts get the score of a text without subwords. Without labels of both kinds all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels)
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, half of whose bytes or more speak for one language."""
+    """Documents with letters, half of whose bytes or more speak for one language; null and empty texts go."""
     scored = language.identify(docs, language.train(docs))
     return scored.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
 
@@ -41,14 +44,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated strings, down to passages of 51 words of any length; what a cut leaves of a character goes too."""
-    cut = remove_repeats(docs, window=REPEATED)
-    rest = F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("�"), F.lit(""))
-    text = F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text"))
+    """Texts without their repeated strings, every occurrence of them, down to passages of 51 words of any length.
+
+    A character that a cut would divide goes with it. Null texts stay null; an empty table stays empty.
+    """
+    cut = remove_repeats(docs, window=REPEATED, whole_characters=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences of 2048 tokens; null and empty texts are one token, an empty table has none."""
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), 2048)
 
 
