@@ -71,20 +71,20 @@ def value_shares(rows: DataFrame, column: str) -> DataFrame:
 
 
 def distribution(rows: DataFrame, group: str, label: str) -> DataFrame:
-    """Balance of labels per group: distinct, normalised entropy, Simpson, population CV, largest by smallest, class."""
+    """Balance of labels per group (a single label is even): distinct, normalised entropy, Simpson, population CV, largest by smallest, class."""
     counts = rows.where(F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("c"))
     p = F.col("c") / F.sum("c").over(W.partitionBy(group))
     out = counts.withColumn("p", p).groupBy(group).agg(
         F.count("*").alias("distinct"),
         F.sum("c").alias("total"),
-        F.round(F.coalesce(F.try_divide(F.sum(-F.col("p") * F.log("p")), F.log(F.count("*").cast("double"))), F.lit(0.0)), 4).alias("entropy"),
+        F.round(F.coalesce(F.try_divide(F.sum(-F.col("p") * F.log("p")), F.log(F.count("*").cast("double"))), F.lit(1.0)), 4).alias("entropy"),
         F.round(1 - F.sum(F.col("p") * F.col("p")), 8).alias("simpson"),
         F.round(F.stddev_pop("c") / F.avg("c"), 4).alias("cv"),
         F.round(F.max("c") / F.min("c"), 4).alias("max_by_min"),
     )
     severe = (F.col("entropy") < 0.55) | (F.col("cv") > 1.5) | (F.col("max_by_min") > 25)
     slight = (F.col("entropy") < 0.75) | (F.col("cv") > 1.0) | (F.col("max_by_min") > 10)
-    return out.withColumn("balance", F.when(F.col("distinct") < 2, "single").when(severe, "severe").when(slight, "slight").otherwise("even"))
+    return out.withColumn("balance", F.when(severe, "severe").when(slight, "slight").otherwise("even"))
 
 
 def frequency_gap(current: DataFrame, candidate: DataFrame, keys: list[str], below: int, least: int = 1) -> DataFrame:
@@ -129,12 +129,10 @@ def group_examples(rows: DataFrame, group: str, text: str, order: str, most: int
 
 def grouping_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of every column's values in one pass: grouping sets instead of a counter per column."""
-    sets = ", ".join(f"({c})" for c in columns)
-    rows.createOrReplaceTempView("grouping_rows")
     value = F.coalesce(*(F.col(c).cast("string") for c in columns))
-    return rows.sparkSession.sql(f"SELECT {', '.join(columns)}, {', '.join(f'grouping({c}) AS g_{c}' for c in columns)}, count(*) AS n FROM grouping_rows GROUP BY GROUPING SETS ({sets}, ())").select(
-        F.coalesce(*(F.when(F.col(f"g_{c}") == 0, F.lit(c)) for c in columns), F.lit("all")).alias("field"), F.coalesce(value, F.lit("")).alias("value"), "n"
-    )
+    counted = rows.groupingSets([*([F.col(c)] for c in columns), []], *columns).agg(F.count("*").alias("n"), *(F.grouping(c).alias(f"g_{c}") for c in columns))
+    field = F.coalesce(*(F.when(F.col(f"g_{c}") == 0, F.lit(c)) for c in columns), F.lit("all"))
+    return counted.select(field.alias("field"), F.coalesce(value, F.lit("")).alias("value"), "n")
 
 
 def weighted_confidence(scores: dict[str, float], prefix: str = "") -> Column:

@@ -162,9 +162,9 @@ s AS (SELECT value, n, round(n / CAST((SELECT count(*) FROM c) AS DOUBLE), 6) AS
 SELECT value, n, share, round(sum(share) OVER (ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING), 6) AS running FROM s""",
     "label_distribution": """WITH c AS (SELECT p_brand, p_type, count(*) AS c FROM part WHERE p_type IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, c / CAST(sum(c) OVER (PARTITION BY p_brand) AS DOUBLE) AS p FROM c),
-d AS (SELECT p_brand, count(*) AS "distinct", CAST(sum(c) AS BIGINT) AS total, coalesce(round(CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) END, 4), 0.0) AS entropy,
+d AS (SELECT p_brand, count(*) AS "distinct", CAST(sum(c) AS BIGINT) AS total, coalesce(round(CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) END, 4), 1.0) AS entropy,
  round(1 - sum(p * p), 8) AS simpson, round(stddev_pop(c) / avg(c), 4) AS cv, round(max(c) / min(c), 4) AS max_by_min FROM p GROUP BY p_brand)
-SELECT *, CASE WHEN "distinct" < 2 THEN 'single' WHEN entropy < 0.55 OR cv > 1.5 OR max_by_min > 25 THEN 'severe'
+SELECT *, CASE WHEN entropy < 0.55 OR cv > 1.5 OR max_by_min > 25 THEN 'severe'
  WHEN entropy < 0.75 OR cv > 1.0 OR max_by_min > 10 THEN 'slight' ELSE 'even' END AS balance FROM d""",
     "gap_single": _gap_sql("p_brand", 30, 1),
     "gap_joint": _gap_sql("p_brand, p_size", 10, 3),

@@ -1,4 +1,4 @@
-"""Normalisation of descriptions made from the driver's part table."""
+"""Normalisation of descriptions derived from the driver's part table."""
 
 from __future__ import annotations
 
@@ -6,45 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as N
-from ..sources.tables import table
+from ..sources.tables import described, table
 
-#: A few written forms that descriptions take, by p_partkey % 8.
-FORMS = (
-    "ＤＮ５０　无缝钢管，SCH40；GB/T 8163|20#",
-    "φ89×4.5 ; ASTM A106 PN16 ;; ",
-    "elbow  DN100x80 CL150 ASME B16.9",
-    "NB/T 47010Ⅱ flange PN 2.5",
-    "Ø57；S-10S、EN 10216",
-    "API 5L pipe DN 200 STD 12.7",
-    "JIS tee  20/20 XXS",
-    "gasket 3.0 mm",
-)
-
-
-def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat_ws(" ", form, F.col("p_size").cast("string")).alias("description"))
-
-
-_FORMS = "WITH d AS (SELECT p_partkey, p_size, [" + ", ".join(f"'{f}'" for f in FORMS) + "][p_partkey % 8 + 1] || ' ' || CAST(p_size AS VARCHAR) AS description FROM part)\n"
+_D = """WITH d AS (SELECT p_partkey, p_size, p_type, concat(p_name, ' DN', [15, 20, 25, 50, 80, 100, 150, 200][p_partkey % 8 + 1], 'x', [15, 20, 25, 50, 80, 100, 150, 200][p_size % 8 + 1],
+ ' SCH', ['10S', '20', '40', '80', 'XXS'][p_size % 5 + 1], ' PN', ['10', '16', '25', '64', '68'][p_partkey % 5 + 1], ' GB/T ', 8000 + p_size, ' ',
+ ['ＳＭＬＳ；φ57×4', 'NB/T 47010Ⅱ  20#', 'ASTM A106，CL300', 'EN10216 3.0 mm', 'HGT20592 150LB', '夹套 1.6MPa', 'AB165、Ø89*6', 'JIS ;; S-10S'][p_partkey % 8 + 1]) AS description FROM part)
+"""
 
 
 def half_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _described(spark, sf_dir).select("p_partkey", N.half_width(F.col("description")).alias("plain"))
+    return described(spark, sf_dir).select("p_partkey", N.half_width(F.col("description")).alias("plain"))
 
 
 def sign_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("description")
-    return _described(spark, sf_dir).select("p_partkey", N.diameter_sign(N.roman_letters(d)).alias("signs"), N.list_separators(d).alias("listed"), N.single_blanks(d).alias("spaced"))
+    return described(spark, sf_dir).select("p_partkey", N.diameter_sign(N.roman_letters(d)).alias("signs"), N.list_separators(d).alias("listed"), N.single_blanks(d).alias("spaced"))
+
+
+def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of the normalisation; the blank before a size that runs into a word is the one that always acts."""
+    return described(spark, sf_dir).select("p_partkey", N.normalise(F.concat(F.lit(" "), "description"), [15, 20, 25, 50, 80, 100, 150, 200]).alias("clean"))
 
 
 def template_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many descriptions share a template."""
-    return _described(spark, sf_dir).groupBy(N.template_signature(F.col("description")).alias("template")).agg(F.count("*").alias("n"))
+    return described(spark, sf_dir).groupBy(N.template_signature(F.regexp_replace("description", "^.* DN", "DN")).alias("template")).agg(F.count("*").alias("n"))
 
 
 def standard_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _described(spark, sf_dir).groupBy(N.standard_flag(F.col("description")).alias("flag")).agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
+    tail = F.regexp_replace("description", "^.*GB/T [0-9]+ ", "")
+    return described(spark, sf_dir).groupBy(N.standard_flag(tail).alias("flag")).agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
 
 
 def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,30 +46,45 @@ def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pressure_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.element_at(F.array(*map(F.lit, ("PN", "CLASS ", "cl ", "pn "))), (F.col("p_partkey") % 4 + 1).cast("int")), (F.col("p_size") * 10).cast("string"))
-    return table(spark, sf_dir, "part").groupBy(N.pressure_code(raw).alias("code")).agg(F.count("*").alias("n"))
+    """Codes of the pressures that parts carry in seven written forms."""
+    p = table(spark, sf_dir, "part").withColumn("v", F.element_at(F.array(*map(F.lit, ("10", "16", "68", "64", "150", "300", "125"))), (F.col("p_size") % 7 + 1).cast("int")))
+    form = lambda a, b="": F.concat(F.lit(a), F.col("v"), F.lit(b))
+    forms = F.array(form("PN"), form("CLASS "), form("cl."), form("", "lb"), form("", "#"), form("", " bar"), form("C"))
+    return p.groupBy(N.pressure_code(F.element_at(forms, (F.col("p_partkey") % 7 + 1).cast("int"))).alias("code")).agg(F.count("*").alias("n"))
+
+
+def wall_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    forms = F.array(F.concat(F.lit("SCH"), size), F.concat(F.lit("S-"), size, F.lit("S")), F.concat(size, F.lit(".0mm")), F.concat(F.lit("THK="), size), F.lit("SCHXXS"), F.concat(size, F.lit("S")), F.lit("x y"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.wall_code(F.element_at(forms, (F.col("p_partkey") % 7 + 1).cast("int"))).alias("wall"))
+
+
+def standard_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's standards in order of family, digits one by one, and text."""
+    number = (1000 + F.col("p_size") * 37).cast("string")
+    std = F.concat(F.element_at(F.array(*map(F.lit, ("GB", "EN", "ASME", "ZZ"))), (F.col("p_partkey") % 4 + 1).cast("int")), number)
+    lists = table(spark, sf_dir, "part").where("p_partkey <= 400").groupBy("p_brand").agg(F.collect_set(std).alias("items"))
+    return lists.select("p_brand", F.array_join(N.standard_order(F.col("items"), ["GB", "ASME", "EN"]), ",").alias("standards"))
 
 
-_LIST = ", ".join
-QUERIES = {f.__name__: f for f in (half_width, sign_repair, template_histogram, standard_flags, number_forms, pressure_codes)}
+QUERIES = {f.__name__: f for f in (half_width, sign_repair, normalised, template_histogram, standard_flags, number_forms, pressure_codes, wall_codes, standard_order)}
+_WIDE = "'０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ．／－＋（）　', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz./-+() '"
 ORACLES = {
-    "half_width": _FORMS + f"SELECT p_partkey, translate(description, '{N.WIDE}', '{N.NARROW}') AS plain FROM d",
-    "sign_repair": _FORMS
-    + f"""SELECT p_partkey, translate({"".join("replace(" for _ in N.ROMAN)}description{"".join(f", '{a}', '{b}')" for a, b in N.ROMAN.items())}, '{N.DIAMETERS}', '{"Φ" * len(N.DIAMETERS)}') AS signs,
-trim(regexp_replace(regexp_replace(translate(description, '{N.SEPARATORS}', '{";" * len(N.SEPARATORS)}'), '[\\s　]*;[\\s　]*', ';', 'g'), ';{{2,}}', ';', 'g'), ';') AS listed,
+    "half_width": _D + f"SELECT p_partkey, translate(description, {_WIDE}) AS plain FROM d",
+    "sign_repair": _D
+    + """SELECT p_partkey, translate(replace(description, 'Ⅱ', 'II'), 'φФфØø', 'ΦΦΦΦΦ') AS signs,
+trim(regexp_replace(regexp_replace(translate(description, '，；、|｜', ';;;;;'), '[\\s　]*;[\\s　]*', ';', 'g'), ';{2,}', ';', 'g'), ';') AS listed,
 trim(regexp_replace(description, '[\\s　]+', ' ', 'g')) AS spaced FROM d""",
-    "template_histogram": _FORMS
-    + "SELECT trim(regexp_replace("
-    + "regexp_replace(" * len(N.TEMPLATE)
-    + "description"
-    + "".join(f", '{p}', '{m}', 'g')" for p, m in N.TEMPLATE)
-    + ", '[\\s　]+', ' ', 'g')) AS template, count(*) AS n FROM d GROUP BY 1",
-    "standard_flags": _FORMS
-    + "SELECT concat_ws(' + ', "
-    + _LIST(f"CASE WHEN regexp_matches(upper(description), '{p}') THEN '{n}' END" for n, p in N.NATIONS)
-    + ") AS flag, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM d GROUP BY 1",
+    "normalised": _D
+    + f"""SELECT p_partkey, trim(regexp_replace(trim(regexp_replace(regexp_replace(translate(replace(replace(translate(description, {_WIDE}), 'Ⅱ', 'II'), '*', '×'), 'φФфØø，；、|｜', 'ΦΦΦΦΦ;;;;;'),
+ '[\\s　]*;[\\s　]*', ';', 'g'), ';{{2,}}', ';', 'g'), ';'), '[\\s　]+', ' ', 'g')) AS clean FROM d""",
+    "template_histogram": """SELECT concat('DN<N>X<N> <THK> <PRESSURE> <<THK>> ', ['SMLS;<SIZE>', '<<THK>> <MAT>#', '<<THK>>,<PRESSURE>', '<<THK>> <THK>', 'HGT<N> <PRESSURE>', '夹套 <N>MPA', 'AB<N>、Ø<N>*<N>', '<<THK>> ;; <THK>'][p_partkey % 8 + 1]) AS template, count(*) AS n FROM part GROUP BY 1""",
+    "standard_flags": """SELECT ['', '国标', '美标', '欧标', '国标', '', '美标', '日标'][p_partkey % 8 + 1] AS flag, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1""",
     "number_forms": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE CAST(p_size // 2 AS VARCHAR) || '.5' END AS number,
 p_size + (p_partkey % 3 + 1) / 4 AS inches, CAST(p_size * 5 AS VARCHAR) AS mm, p_size % 2 = 0 AS whole FROM part""",
-    "pressure_codes": f"""WITH r AS (SELECT CAST(p_size * 10 AS VARCHAR) AS v, p_partkey % 4 IN (1, 2) AS class FROM part)
-SELECT CASE WHEN class AND v IN ({_LIST(f"'{c}'" for c in N.CLASSES)}) THEN 'C' || v WHEN NOT class AND v IN ({_LIST(f"'{c}'" for c in N.NOMINAL)}) THEN 'PN' || v ELSE '' END AS code, count(*) AS n FROM r GROUP BY 1""",
+    "pressure_codes": """WITH r AS (SELECT ['10', '16', '68', '64', '150', '300', '125'][p_size % 7 + 1] AS v, p_partkey % 7 IN (0, 5) AS nominal FROM part)
+SELECT CASE WHEN nominal AND v IN ('10', '16', '68', '150') THEN 'PN' || v WHEN NOT nominal AND v IN ('150', '300') THEN 'C' || v ELSE '' END AS code, count(*) AS n FROM r GROUP BY 1""",
+    "wall_codes": """SELECT p_partkey, [concat('S', p_size), concat('S', p_size, 'S'), concat(p_size, 'MM'), concat(p_size, 'MM'), 'XXS', concat('S', p_size, 'S'), 'XY'][p_partkey % 7 + 1] AS wall FROM part""",
+    "standard_order": """WITH s AS (SELECT DISTINCT p_brand, p_partkey % 4 AS f, CAST(1000 + p_size * 37 AS VARCHAR) AS n FROM part WHERE p_partkey <= 400)
+SELECT p_brand, string_agg(['GB', 'EN', 'ASME', 'ZZ'][f + 1] || n, ',' ORDER BY [1, 3, 2, 4][f + 1], n) AS standards FROM s GROUP BY 1""",
 }
