@@ -78,7 +78,7 @@ trim(regexp_replace(description, '[\\s　]+', ' ', 'g')) AS spaced FROM d""",
     "normalised": _D
     + f"""SELECT p_partkey, trim(regexp_replace(trim(regexp_replace(regexp_replace(translate(replace(replace(translate(description, {_WIDE}), 'Ⅱ', 'II'), '*', '×'), 'φФфØø，；、|｜', 'ΦΦΦΦΦ;;;;;'),
  '[\\s　]*;[\\s　]*', ';', 'g'), ';{{2,}}', ';', 'g'), ';'), '[\\s　]+', ' ', 'g')) AS clean FROM d""",
-    "template_histogram": """SELECT concat('DN<N>X<N> <THK> <PRESSURE> <<THK>> ', ['SMLS;<SIZE>', '<<THK>> <MAT>#', '<<THK>>,<PRESSURE>', '<<THK>> <THK>', 'HGT<N> <PRESSURE>', '夹套 <N>MPA', 'AB<N>、Ø<N>*<N>', '<<THK>> ;; <THK>'][p_partkey % 8 + 1]) AS template, count(*) AS n FROM part GROUP BY 1""",
+    "template_histogram": """SELECT concat('DN<N>X<N> <THK> <PRESSURE> <<THK>> ', ['SMLS;<SIZE>', '<<THK>> <MAT>#', '<<THK>>,<PRESSURE>', '<<THK>> <THK>', 'HGT<N> <PRESSURE>', '夹套 <N>MPA', 'AB<N>、Ø<N>*<N>', '<<THK>>;; <THK>'][p_partkey % 8 + 1]) AS template, count(*) AS n FROM part GROUP BY 1""",
     "standard_flags": """SELECT ['', '国标', '美标', '欧标', '国标', '', '美标', '日标'][p_partkey % 8 + 1] AS flag, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1""",
     "number_forms": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE CAST(p_size // 2 AS VARCHAR) || '.5' END AS number,
 p_size + (p_partkey % 3 + 1) / 4 AS inches, CAST(p_size * 5 AS VARCHAR) AS mm, p_size % 2 = 0 AS whole FROM part""",
