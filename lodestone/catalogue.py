@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, frequency, lookup, tables, text
+from .plans import analytics, frequency, lookup, spans, tables, text
 
-MODULES = (frequency, analytics, tables, text, lookup)
+MODULES = (frequency, analytics, tables, text, lookup, spans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
