@@ -175,7 +175,7 @@ _LINKS = "a binary, b binary"
 BLOCK, BLOCK_GRAMS = 768, 2_000_000
 
 
-def _visits(near: Near, buckets: int, most: int = 24_000_000):
+def _visits(near: Near, buckets: int, most: int = 16_000_000):
     """Cells of a task's distinct sets, sent to the buckets of their names with the classes that visit them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import fmix, partitions, saved, utf8_slices
 
 WINDOW = 400
-#: Bytes of text that a task names at a time.
-CHUNK = 24_000_000
+#: Bytes of text that a task takes in at a time, and how many samples of them it names: what fills first.
+CHUNK, CHUNK_SAMPLES = 24_000_000, 1_840_000
 SAMPLES, TABLE, KNOWN = 0, 1, 2
 
 _ROWS = "key long, kind int, chunk long, data binary"
@@ -63,6 +63,7 @@ class Cover:
         self.window, q = window, orders[-1]
         self.period, self.residues = q * q + q + 1, _cover(q)
         self.centre = window - self.period + 1
+        self.chunk = min(CHUNK, CHUNK_SAMPLES * self.period // len(self.residues))  # bytes of text
 
     def sample_count(self, n: np.ndarray) -> np.ndarray:
         """Sampled positions of texts of n bytes: those with `centre` bytes from them on."""
@@ -156,10 +157,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield key, rows
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[np.ndarray], list[list]]]:
-    """(chunk number, texts as bytes, values of the other columns) in pieces of about CHUNK bytes."""
+def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str], most: int | None = None) -> Iterator[tuple[int, list[np.ndarray], list[list]]]:
+    """(chunk number, texts as bytes, values of the other columns) in pieces of about `most` (CHUNK) bytes."""
     from pyspark import TaskContext
 
+    most = most or CHUNK
+
     part, nth = TaskContext.get().partitionId(), 0
     texts, rest, size = [], [[] for _ in columns], 0
     for batch in batches:
@@ -170,7 +173,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
             for r, v in zip(rest, values, strict=True):
                 r.append(v[i])
             size += len(texts[-1])
-            if size >= CHUNK:
+            if size >= most:
                 yield part * 1_000_000 + nth, texts, rest
                 texts, rest, size, nth = [], [[] for _ in columns], 0, nth + 1
     yield part * 1_000_000 + nth, texts, rest
@@ -181,7 +184,7 @@ def _sampled(cover: Cover, buckets: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         namer, _ = _names()
-        for chunk, texts, (tids,) in _chunks(batches, ["tid"]):
+        for chunk, texts, (tids,) in _chunks(batches, ["tid"], cover.chunk):
             seen: set[bytes] = set()
             keys, sizes, centres, contexts = [], [], [], []
             for text, tid in zip(texts, tids, strict=True):
@@ -328,7 +331,7 @@ def _windowed(cover: Cover, buckets: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_namer, second_namer = _names()
-        for chunk, texts, (tids, merges) in _chunks(batches, ["tid", "merge"]):
+        for chunk, texts, (tids, merges) in _chunks(batches, ["tid", "merge"], cover.chunk):
             keys, counts, highs, lows = [], [], [], []
             for text, tid, merge in zip(texts, tids, merges, strict=True):
                 if not merge:
