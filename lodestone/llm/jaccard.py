@@ -91,6 +91,8 @@ def _class(grams: np.ndarray) -> bytes:
 
 
 _SETS = "cls binary, n long, grams array<long>"
+#: Rows whose sets a task holds and hands on at a time.
+SLICE = 1000
 
 
 #: Bits of the filter that keeps sets of classes without partners out of a shuffle. Its 8 MB don't grow with the
@@ -118,7 +120,7 @@ def with_class(docs: DataFrame, near: Near, grams: bool = False, only: Broadcast
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         namer = _namer()
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             data, offsets = utf8_slices(batch.column("text"))
             sets = [shingles(data[offsets[i] : offsets[i + 1]], near, namer) for i in range(batch.num_rows)]
             names = [_class(s) if len(s) else None for s in sets]
@@ -175,7 +177,7 @@ _LINKS = "a binary, b binary"
 BLOCK, BLOCK_GRAMS = 768, 2_000_000
 
 
-def _visits(near: Near, buckets: int, most: int = 16_000_000):
+def _visits(near: Near, buckets: int, most: int = 8_000_000):
     """Cells of a task's distinct sets, sent to the buckets of their names with the classes that visit them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

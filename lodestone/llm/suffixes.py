@@ -31,7 +31,7 @@ from .common import fmix, partitions, saved, utf8_slices
 
 WINDOW = 400
 #: Bytes of text that a task takes in at a time, and how many samples of them it names: what fills first.
-CHUNK, CHUNK_SAMPLES = 24_000_000, 1_840_000
+CHUNK, CHUNK_SAMPLES = 24_000_000, 800_000
 SAMPLES, TABLE, KNOWN = 0, 1, 2
 
 _ROWS = "key long, kind int, chunk long, data binary"
