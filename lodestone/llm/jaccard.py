@@ -289,8 +289,10 @@ def components(links: DataFrame) -> DataFrame:
         step = step.join(up, "next", "left").select("cls", F.col("root").alias("old"), F.least("next", F.coalesce("higher", "next")).alias("root"))
         step = saved(step, "roots")
         changed = step.where("old <> root").limit(1).count()
+        discard(roots)
         roots = step.select("cls", "root")
         if not changed:
+            discard(edges)
             return roots
 
 
@@ -323,8 +325,9 @@ def _regions(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     return live.drop("prefix"), regions
 
 
-def links(docs: DataFrame, near: Near) -> DataFrame:
-    """a, b: pairs of set classes, enough of all near pairs to connect whatever near pairs connect."""
+def links(docs: DataFrame, near: Near) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b: pairs of set classes, enough of all near pairs to connect whatever near pairs connect; the scratch tables
+    that these are read from)."""
     sets, regions = _regions(docs, near)
     hearts = sets.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("live").alias("heart"))
     both = regions.join(sets.select("cls", "n", "live"), "cls").join(hearts, "pivot").withColumn("both", F.size(F.array_intersect("live", "heart")))
@@ -344,7 +347,7 @@ def links(docs: DataFrame, near: Near) -> DataFrame:
     members = open_.join(dealt, "pivot").withColumn("block", block).withColumn("last", last).select("pivot", "cls", "linked", "distance", "block", with_)
     members = members.select("pivot", "cls", "linked", "distance", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     joined = members.join(sets.select("cls", "n", "live"), "cls").groupBy("pivot", "i", "j").applyInArrow(_join_blocks(near), _LINKS)
-    return region.where("linked").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).union(joined)
+    return region.where("linked").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).union(joined), [sets, regions, region]
 
 
 def group_near(docs: DataFrame, near: Near, key: str = "doc_id") -> DataFrame:
@@ -355,7 +358,10 @@ def group_near(docs: DataFrame, near: Near, key: str = "doc_id") -> DataFrame:
     rows and keys: each row is in the component of its text. Empty table: empty result. Other columns are left out.
     """
     named = saved(with_class(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), near), "classes")
-    roots = components(links(docs, near))
+    found, scratch = links(docs, near)
+    roots = components(found)
+    for done in scratch:  # the links are written
+        discard(done)
     least = named.where("cls is not null").groupBy("cls").agg(F.min(key).alias("least")).join(roots, "cls", "left")
     tops = least.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
     of_class = least.join(tops, "root", "left").select("cls", F.coalesce("top", "least").alias("component_id"))
