@@ -120,16 +120,22 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 
 
 def _packed(high: np.ndarray, low: np.ndarray, ordinals: np.ndarray) -> bytes:
-    """Records of 4 and 8 bytes and an ascending number, as steps of 2 bytes where they fit."""
+    """Records of 4 and 6 bytes and an ascending number, as steps of 1 or 2 bytes where they fit.
+
+    With the bits that chose the bucket, two different records agree with a chance under 2**-80.
+    """
     steps = np.diff(ordinals, prepend=0)
-    small = len(steps) == 0 or steps.max() < 1 << 16
-    return bytes([2 if small else 8]) + high.astype("<u4").tobytes() + low.astype("<u8").tobytes() + steps.astype("<u2" if small else "<u8").tobytes()
+    most = int(steps.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 8
+    parts = (high.astype("<u4"), low.astype("<u4"), (low >> np.uint64(32)).astype("<u2"), steps.astype(f"<u{width}"))
+    return bytes([width]) + b"".join(p.tobytes() for p in parts)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width = data[0]
-    n = (len(data) - 1) // (12 + width)
-    return np.frombuffer(data, "<u4", n, 1), np.frombuffer(data, "<u8", n, 1 + 4 * n), np.cumsum(np.frombuffer(data, f"<u{width}", n, 1 + 12 * n).astype(np.int64))
+    n = (len(data) - 1) // (10 + width)
+    high, low, top, steps = (np.frombuffer(data, kind, n, 1 + at * n) for kind, at in (("<u4", 0), ("<u4", 4), ("<u2", 8), (f"<u{width}", 10)))
+    return high, low.astype(np.uint64) | top.astype(np.uint64) << np.uint64(32), np.cumsum(steps.astype(np.int64))
 
 
 def _to_buckets(chunk: int, bucket: np.ndarray, high: np.ndarray, low: np.ndarray, ordinals: np.ndarray) -> Iterator[tuple]:
@@ -140,7 +146,7 @@ def _to_buckets(chunk: int, bucket: np.ndarray, high: np.ndarray, low: np.ndarra
 
 
 def _known(chunk: int, buckets: int, covered: np.ndarray, merge: np.ndarray) -> tuple:
-    return buckets + chunk, KNOWN, chunk, np.int64(len(covered)).tobytes() + covered.astype("<i8").tobytes() + merge.astype("<i8").tobytes()
+    return buckets + chunk, KNOWN, chunk, np.int64(len(covered)).tobytes() + covered.astype("<u4").tobytes() + merge.astype("<u4").tobytes()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
@@ -285,7 +291,7 @@ def _by_text(cover: Cover, buckets: int, schema: str):
             for kind, _, d in rows:
                 if kind == KNOWN:
                     k = int(np.frombuffer(d, "<i8", 1)[0])
-                    all_ = np.frombuffer(d, "<i8", -1, 8)
+                    all_ = np.frombuffer(d, "<u4", -1, 8).astype(np.int64)
                     both[0].append(all_[:k])
                     both[1].append(all_[k:])
             covered, merge = (np.unique(np.concatenate(b)) for b in both)
@@ -431,8 +437,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, window: int = WINDOW
     rest = F.struct(*(F.col(c) for c in docs.columns if keep_text or c != "text")).alias("row")
     rows = docs.select(rest, text.cast("binary").alias("_text")).withColumn("n_bytes", F.octet_length("_text").cast("long"))
     rows = rows.withColumn("_own", F.sha2("_text", 256)).withColumn("tid", F.when(F.col("n_bytes") >= window, F.unhex(F.md5("_text"))))
-    rows = rows if keep_text else rows.drop("_text")
-    rows = rows.join(cut.withColumn("_hit", F.lit(True)), "tid", "left")
+    rows = rows.drop("_text")
+    # short texts have no hits: they don't take part in the join, where their null keys would meet in one task
+    hits = rows.where("tid is not null").join(cut.withColumn("_hit", F.lit(True)), "tid", "left")
+    rows = hits.unionByName(rows.where("tid is null"), allowMissingColumns=True)
     whole = F.col("_hit").isNotNull() & F.col("n_removed").isNull()  # a text with copies
     none = F.array().cast("array<array<long>>")
     out = rows.select(
@@ -441,6 +449,6 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, window: int = WINDOW
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce(F.col("n_removed"), F.lit(0))).alias("n_removed"),
         F.when(whole, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.coalesce("spans", none)).alias("spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "_own")).alias("kept_sha256"),
-        *([F.when(whole, F.lit("").cast("binary")).otherwise(F.coalesce("kept", "_text")).alias("kept")] if keep_text else []),
+        *([F.when(whole, F.lit("").cast("binary")).otherwise(F.coalesce("kept", F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))).alias("kept")] if keep_text else []),
     )
     return out
