@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, events, frequency, lookup, routing, spans, tables, text
+from .plans import analytics, codes, events, frequency, lookup, routing, spans, tables, text
 
-MODULES = (frequency, analytics, tables, text, lookup, spans, routing, events)
+MODULES = (frequency, analytics, tables, text, lookup, spans, routing, events, codes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
