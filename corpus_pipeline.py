@@ -35,10 +35,16 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id; texts without words stay."""
-    groups = group_near(docs.select("doc_id", "text"), Near(5, 80, 100))
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    """Of each group of near duplicates (five words, 0.8) one document, that with the smallest id; texts without words stay.
+
+    Rows are told apart by id and text, so of different texts under one id each is decided by itself; a null id counts
+    as larger than all others. Of equal rows one stays.
+    """
+    digest = F.xxhash64("text")
+    row = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    groups = group_near(docs.select(row.alias("row"), "text"), Near(5, 80, 100), "row")
+    stay = groups.where("row = component_id").select("row.id", "row.digest").distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (digest == F.col("digest")), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
