@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,3 +36,18 @@ def per_distinct(change: Callable[..., Any], returns: str) -> Callable[..., Colu
         return pa.array(out, kind)
 
     return lambda *columns: (one if len(columns) == 1 else two)(*columns)
+
+
+def fold(text: str) -> str:
+    """Lower case, letter for letter: the length stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def automaton(words: Iterable[str]) -> ahocorasick.Automaton:
+    """Finds all words in one pass over a text; its iter() gives (place of the last letter, word)."""
+    found = ahocorasick.Automaton()
+    for word in words:
+        found.add_word(word, word)
+    found.make_automaton()
+    return found

@@ -1,4 +1,4 @@
-"""Normalisation of material descriptions as Column functions: no Python on the executors.
+"""Normalisation of material descriptions as Column functions: no Python on the executors here.
 
 Java's \\d and \\s are ASCII; (?U) makes them Unicode where descriptions need it.
 """
@@ -69,11 +69,21 @@ def each_match(c: Column, pattern: str, change: Callable[[Column], Column]) -> C
 def section_labels(c: Column) -> Column:
     """A blank before a numbered label that runs into what is before it, and before a nominal size that does.
 
-    A label is what stands last before a colon, so each stretch up to a colon is looked at alone.
+    A label is a digit, a point and a short word at the end of a field, which a colon closes. So the last point of each
+    field is looked at: the digit before it, what stands before that, and the word behind it.
     """
     fields = F.regexp_extract_all(c, F.lit("(?s)[^:：]+[:：]?|[:：]"), 0)
-    label = F.transform(fields, lambda f: F.when(f.rlike("[:：]$"), F.regexp_replace(f, "(?<=[0-9A-Za-z])(?=[1-9]\\.[一-鿿A-Za-z].{0,20}[:：]$)", " ")).otherwise(f))
-    return F.regexp_replace(F.concat_ws("", label), r"(?i)([a-z0-9.])(dn\s*[0-9])", "$1 $2")
+
+    def parted(field: Column) -> Column:
+        n, back = F.length(field), F.instr(F.reverse(field), ".")
+        point = n - back + 1
+        at = lambda i: F.substring(field, i, F.lit(1))
+        named = at(point + 1).rlike("[一-鿿A-Za-z]") & (back <= 23) & F.substring(field, -1, 1).isin(":", "：")
+        numbered = (back > 0) & (point > 2) & at(point - 1).between("1", "9") & at(point - 2).rlike("[0-9A-Za-z]")
+        gap = F.concat(F.substring(field, F.lit(1), point - 2), F.lit(" "), F.substring(field, point - 1, n))
+        return F.when(named & numbered, gap).otherwise(field)
+
+    return F.regexp_replace(F.concat_ws("", F.transform(fields, parted)), r"(?i)([a-z0-9.])(dn\s*[0-9])", "$1 $2")
 
 
 def split_wall_from_dn(c: Column, dns: list[int]) -> Column:
@@ -155,10 +165,12 @@ PRESSURE_SIGNS = {
 }
 
 
-def pressure_code(c: Column, classes: tuple[str, ...] = CLASSES, nominal: tuple[str, ...] = NOMINAL) -> Column:
+def pressure_code(c: Column, classes: tuple[str, ...] = CLASSES, nominal: tuple[str, ...] = NOMINAL, glued: bool = False) -> Column:
     """C and a class, PN and a nominal pressure, or ''.
 
     A token is a sign, a number and a sign; the two signs say what the number counts, and the code must be a known one.
+    glued: what follows may run into a number with its sign before it, so of one that is not known the longest known
+    number that it begins with counts (CL30002 to C3000).
     """
     token = F.translate(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"(?U)\s+", ""), "＃", "#")
     shape = "^([A-Z.]*)([0-9]+(?:[.][0-9]+)?)([A-Z#]*)$"
@@ -166,14 +178,20 @@ def pressure_code(c: Column, classes: tuple[str, ...] = CLASSES, nominal: tuple[
     table = F.create_map(*(x for (a, b), (code, tenths) in PRESSURE_SIGNS.items() for x in (F.lit(f"{a}|{b}"), F.struct(F.lit(code).alias("code"), F.lit(tenths).alias("tenths")))))
     kind = F.try_element_at(table, signs)
     code = F.concat(kind["code"], number_text((F.regexp_extract(token, shape, 2).try_cast("double") * kind["tenths"] / 10).cast("string")))
-    return F.when(code.isin(*(f"C{v}" for v in classes), *(f"PN{v}" for v in nominal)), code).otherwise("")
+    known = [f"C{v}" for v in classes] + [f"PN{v}" for v in nominal]
+    found = F.when(code.isin(*known), code)
+    if glued:
+        before = F.endswith(signs, F.lit("|"))
+        longest = F.array(*(F.lit(k) for k in sorted(known, key=len, reverse=True)))
+        found = F.coalesce(found, F.when(before, F.get(F.filter(longest, lambda k: F.startswith(code, k)), F.lit(0))))
+    return F.coalesce(found, F.lit(""))
 
 
 def wall_code(c: Column) -> Column:
-    """SCH80 to S80, S-XS to XS, 8.0mm to 8MM, 40S to S40S; others upper-cased.
+    """SCH80 to S80, S-XS to XS, 8.0mm to 8MM, 40S to S40S, S6.3 as it is; others upper-cased.
 
-    A token is a sign, a word or number, and a unit. A number is a schedule's if its sign or an S behind it says so
-    and it is whole, and millimetres otherwise.
+    A token is a sign, a word or number, and a unit. A number is a schedule's if its sign or an S behind it says so, and
+    millimetres otherwise; behind SCH and S- a schedule's number is whole.
     """
     token = F.regexp_replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), r"\s+", "")
     shape = "^(SCH[.]?|S-|S|THK=?|)(XXS|XS|STD|[0-9]+(?:[.][0-9]+)?)(S|MM|)$"
@@ -182,7 +200,7 @@ def wall_code(c: Column) -> Column:
     return (
         F.when(body == "", token)
         .when(body.isin(*SPECIAL_WALLS), body)
-        .when(schedule, F.concat(F.lit("S"), body, unit))
+        .when(schedule | (sign == "S"), F.concat(F.lit("S"), body, F.when(unit == "S", "S").otherwise("")))
         .otherwise(F.concat(number_text(body), F.lit("MM")))
     )
 
@@ -192,32 +210,6 @@ def size_code(values: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(values, lambda v: number_text(v.cast("string")))), "x")
 
 
-#: Material names that a template's mark stands for, and the signs of standards before a number.
-MATERIALS = "A105 A106 A234 A403 A420 A815 A182 A516 A694 LF2 WPB WPL6 WP[0-9]+ Q235B Q245R Q345R CF415K? L245N? L290N X65 06CR[0-9]+ 022CR[0-9]+ S[0-9]{5} SF[0-9]+ TP[0-9]+ 16MND? 20#? 20G 304L? 316L? 321 2205 2507 R?PTFE FRP(?:/C?PVC)?".split()
-ISSUERS = "GB/T HG/T SH/T NB/T SY/T ASME ASTM MSS DIN EN ISO JIS API AISI".split()
-#: Shapes of a description's parts and the marks that stand for them, in order.
-_NUMBER, _BY = r"[0-9]+(?:[.][0-9]+)?", r"\s*[X×*]\s*"
-TEMPLATE = [
-    (r"\b(?:" + "|".join(ISSUERS) + r")\s*[-/]?\s*[A-Z0-9.()/-]*", "<STD>"),
-    (r"\b(?:CL|CLASS|PN)\s*[.]?\s*[0-9]+(?:/\s*PN[0-9]+)?\b|\b[0-9]+(?:#|LB)\b", "<PRESSURE>"),
-    (rf"\b(?:SCH[.]?\s*\w+|S-[0-9]\w*|(?:THK\s*=\s*)?{_NUMBER}\s*MM|XXS|XS|STD)\b", "<THK>"),
-    (rf"\b(?:DN|NPS|NB)\s*[0-9]+\b|[Φφ]\s*{_NUMBER}(?:{_BY}[Φφ]?{_NUMBER})+|\b{_NUMBER}(?:{_BY}{_NUMBER})+\b|\b{_NUMBER}\s*\"", "<SIZE>"),
-    (r"\b(?:" + "|".join(MATERIALS) + r")\b", "<MAT>"),
-    (_NUMBER, "<N>"),
-]
-
-
-def template_signature(c: Column) -> Column:
-    """An upper-cased description with its standards, pressures, walls, sizes, materials and numbers replaced by marks.
-
-    Of the compatibility forms, full-width signs and Roman numerals are made plain. The mark of a standard holds a word
-    that is a wall's too, so it comes out as a wall's in its brackets.
-    """
-    wide, narrow = _run("！", "～") + "　", _run("!", "~") + " "
-    plain = F.upper(roman_letters(F.translate(F.coalesce(c, F.lit("")), wide, narrow)))
-    return F.btrim(single_blanks(reduce(lambda x, m: F.regexp_replace(x, m[0], m[1]), TEMPLATE, plain)), F.lit(" ,;"))
-
-
 def standard_digits(c: Column) -> Column:
     """The digits one by one: EN10222 sorts before EN1092."""
     return F.transform(F.regexp_extract_all(c, F.lit(r"(\d)"), 1), lambda d: d.cast("int"))
@@ -236,19 +228,24 @@ def standard_code(c: Column) -> Column:
     return F.translate(F.regexp_replace(t, r"-(?:19|20)\d\d$", ""), " ./-", "")
 
 
-#: Initials of standards by nation; those that need a digit after them also tell coded forms.
+#: Initials of standards by nation: those that tell it anywhere, those that do as words of their own, and
+#: those that do before a digit.
 NATIONS = {
-    "国标": ("GB GB/T SH/T HG/T NB/T JB/T SY/T DL/T YB/T".split(), "GBT SHT HGT NBT JBT SYT DLT YBT CJT GJB QBT TSG".split()),
-    "美标": ("ASME ASTM API MSS ANSI AWWA NACE".split(), "AB AA MS".split()),
-    "欧标": ("DIN BS".split(), "EN ISO".split()),
-    "日标": ("JIS".split(), []),
+    "国标": ("GB GB/T SH/T HG/T NB/T JB/T SY/T DL/T YB/T".split(), [], "GBT SHT HGT NBT JBT SYT DLT YBT CJT GJB QBT TSG".split()),
+    "美标": ("ASME ASTM API MSS ANSI AWWA NACE".split(), [], "AB AA MS".split()),
+    "欧标": ([], "DIN EN ISO BS".split(), "DIN EN ISO BS".split()),
+    "日标": ([], ["JIS"], ["JIS"]),
 }
 
 
 def standard_flag(c: Column) -> Column:
     """Which nations' standards a text names, in words (GB/T 12459) or coded (GBT12459, AB165), joined by ' + '."""
-    t = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"\s+(?=[0-9])", "")
-    named = lambda words, coded: F.coalesce(*(F.when(F.contains(t, F.lit(w)), True) for w in words), *(F.when(t.rlike(f"{w}[0-9]"), True) for w in coded), F.lit(False))
+    t = F.upper(F.coalesce(c, F.lit("")))
+
+    def named(anywhere: list[str], words: list[str], coded: list[str]) -> Column:
+        shapes = [rf"(?U)\b{w}\b" for w in words] + [f"{w}[0-9]" for w in coded]
+        return F.coalesce(*(F.when(F.contains(t, F.lit(w)), True) for w in anywhere), *(F.when(t.rlike(s), True) for s in shapes), F.lit(False))
+
     return F.concat_ws(" + ", *(F.when(named(*signs), nation) for nation, signs in NATIONS.items()))
 
 

@@ -7,16 +7,12 @@ that the same places come from a join on the words' first letters.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import per_distinct
-from .spans import without_overlaps
+from ..functions.arrow import automaton, fold, per_distinct
 
 #: Letters of all words together that travel with the tasks as an automaton.
 MOST_LETTERS = 4_000_000
@@ -27,20 +23,6 @@ BLANKS = re.compile(r"\s")
 _EDGE = re.compile(r"[A-Za-z0-9一-鿿]")
 
 
-def fold(text: str) -> str:
-    """Lower case, letter for letter: the length stays."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
-def _automaton(words: Iterator[str]) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for word in words:
-        found.add_word(word, word)
-    found.make_automaton()
-    return found
-
-
 def keyword_places(rows: DataFrame, key: str, text: str, keywords: DataFrame, most_letters: int = MOST_LETTERS) -> DataFrame:
     """key, begin, end and the columns of keywords: every place of every keyword in every text, case included.
 
@@ -57,7 +39,7 @@ def keyword_places(rows: DataFrame, key: str, text: str, keywords: DataFrame, mo
 
         def hits(t: str) -> list[dict]:
             if not state:
-                state.append(_automaton(words))
+                state.append(automaton(words))
             return [{"begin": end + 1 - len(word), "keyword": word} for end, word in state[0].iter(t)]
 
         state: list = []
@@ -120,17 +102,17 @@ class Layers:
             bare, cuts = _cuts(alias, layer.blanks_only)
             if bare:
                 self.entries[layer.blanks_only].setdefault(bare, []).append((name, code, alias, order, cuts))
-        self.automata = {way: _automaton(iter(words)) if words else None for way, words in self.entries.items()}
+        self.automata = {way: automaton(iter(words)) if words else None for way, words in self.entries.items()}
 
     def hits(self, text: str) -> list[dict]:
         """Every place of every alias that its layer allows."""
         low, out = fold(text), []
-        for way, automaton in self.automata.items():
-            if automaton is None:
+        for way, found in self.automata.items():
+            if found is None:
                 continue
             sign = BLANKS if way else SEPARATORS
             at = [i for i, c in enumerate(low) if not sign.match(c)]
-            for last, bare in automaton.iter("".join(low[i] for i in at)):
+            for last, bare in found.iter("".join(low[i] for i in at)):
                 first = last + 1 - len(bare)
                 begin, end = at[first], at[last] + 1
                 gaps = {i - first for i in range(first + 1, last + 1) if at[i] != at[i - 1] + 1}
@@ -207,5 +189,3 @@ def layered_match(rows: DataFrame, text: str, aliases: DataFrame, layers: tuple[
     layer = F.get("hits", F.lit(0))["layer"]
     return found.select("*", layer.alias("layer"), codes.alias("codes"), (F.size(codes) > 1).alias("several"), F.array_distinct(F.transform(ordered, lambda x: x["c"])).alias("notes")).drop("_hits")
 
-
-__all__ = ["Layer", "MATERIAL_LAYERS", "keyword_places", "layered_match", "longest_contained", "without_overlaps"]

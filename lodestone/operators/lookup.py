@@ -1,27 +1,31 @@
 """Joins with dictionaries: exact, alias, reverse, positional, nearest, as-of and containment.
 
-A dictionary is small by nature; where a join isn't by equality it travels as one row of arrays, after its size is checked.
+All are joins by equality, of keys or of bins; none depends on the dictionary's size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows that a dictionary which travels as arrays may have.
-MOST_ENTRIES = 100_000
 
+def step_join(values: DataFrame, x: str, steps: DataFrame, begin: str, after: bool = False) -> DataFrame:
+    """values with the row of steps that x lies in: the last that begins at or before it (after: strictly before it).
 
-def as_array(dim: DataFrame, name: str, order: str, *columns: str) -> DataFrame:
-    """One row: the dictionary's rows as an array of structs in their order; ValueError if there are too many."""
-    n = dim.limit(MOST_ENTRIES + 1).count()
-    if n > MOST_ENTRIES:
-        raise ValueError(f"a dictionary of more than {MOST_ENTRIES} rows can't be scanned for each row")
-    return dim.agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias(name))
-
-
-def beside(rows: DataFrame, array: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(array))
+    steps have distinct begins. A step reaches to the next one's begin and stands in each bin it touches; bins are as
+    wide as a step on average, so steps and bins together are about twice the steps. Only the dictionary is sorted.
+    """
+    span = steps.agg(F.min(begin).alias("a"), F.max(begin).alias("b"), F.count("*").alias("n")).first()
+    if not span["n"]:
+        return values.crossJoin(steps.limit(0))
+    width = (span["b"] - span["a"]) / span["n"] or 1.0
+    nth = lambda c: F.least(F.greatest(F.floor((c - F.lit(span["a"])) / width), F.lit(0)), F.lit(span["n"]))
+    ends = steps.withColumn("_end", F.lead(begin).over(W.orderBy(begin)))
+    dealt = ends.withColumn("_bin", F.explode(F.sequence(nth(F.col(begin)), F.coalesce(nth(F.col("_end")), F.lit(span["n"])))))
+    at = F.col(x)
+    within = (at > F.col(begin)) & (F.col("_end").isNull() | (at <= F.col("_end"))) if after else (at >= F.col(begin)) & (F.col("_end").isNull() | (at < F.col("_end")))
+    return values.withColumn("_bin", nth(at)).join(dealt, "_bin").where(within).drop("_bin", "_end")
 
 
 def reverse_map(dim: DataFrame, aliases: str, code: str, order: str, upper: bool = False) -> DataFrame:
@@ -75,15 +79,25 @@ def diameter_to_dn(rows: DataFrame, od: str, table: DataFrame, sizes: DataFrame,
 
     table: ord, od, dn; entries of one diameter give the largest dn below it, or else the smallest. sizes: nps (inches), dn.
     """
-    by_od = table.groupBy("od").agg(F.min("ord").alias("ord"), F.coalesce(F.max(F.when(F.col("dn") < F.col("od"), F.col("dn"))), F.min("dn")).alias("dn"))
-    x = F.col(od)
-    wide = beside(beside(rows, as_array(by_od, "_table", "ord", "od", "dn")), as_array(sizes, "_sizes", "nps", "dn"))
-    first = lambda a: F.try_element_at(a, F.lit(1))["dn"]
-    exact, near = F.filter("_table", lambda e: e["od"] == x), F.filter("_table", lambda e: F.abs(e["od"] - x) <= tolerance)
-    nearest = F.array_min(F.transform("_sizes", lambda s: F.struct(F.abs(s["nps"] - x / 25.4).alias("far"), s["nps"].alias("nps"), s["dn"].alias("dn"))))["dn"]
-    below = F.array_max(F.transform(F.filter("_table", lambda e: e["od"] <= x), lambda e: F.struct(e["od"].alias("od"), e["dn"].alias("dn"))))["dn"]
-    dn = F.coalesce(first(exact), first(near), F.when(x >= large, nearest).otherwise(below))
-    return wide.withColumn("dn", dn).drop("_table", "_sizes")
+    by_od = table.groupBy("od").agg(F.min("ord").alias("_ord"), F.coalesce(F.max(F.when(F.col("dn") < F.col("od"), F.col("dn"))), F.min("dn")).alias("_dn"))
+    values = rows.select(F.col(od).cast("double").alias("_x")).where("_x is not null").distinct()
+    exact = values.join(by_od, F.col("_x") == F.col("od")).select("_x", F.col("_dn").alias("exact"))
+    wide = 2 * tolerance
+    nth = lambda c: F.floor(c / wide)
+    spread = by_od.withColumn("_bin", F.explode(F.sequence(nth(F.col("od") - tolerance), nth(F.col("od") + tolerance))))
+    close = values.withColumn("_bin", nth(F.col("_x"))).join(spread, "_bin").where(F.abs(F.col("od") - F.col("_x")) <= tolerance)
+    close = close.groupBy("_x").agg(F.min_by("_dn", "_ord").alias("close"))
+    # inch sizes change half way between two of them; of equally near ones the smaller counts
+    inches = sizes.groupBy(F.col("nps").cast("double").alias("nps")).agg(F.min("dn").alias("inch"))
+    half = (F.col("nps") + F.lag("nps").over(W.orderBy("nps"))) / 2 * 25.4
+    changes = inches.select(F.coalesce(half, F.lit(-1e18)).alias("_begin"), "inch")
+    nearest = step_join(values.where(F.col("_x") >= large), "_x", changes, "_begin", after=True).select("_x", "inch")
+    floor = step_join(values.where(F.col("_x") < large), "_x", by_od.select("od", F.col("_dn").alias("below")), "od").select("_x", "below")
+    found = values
+    for part in (exact, close, nearest, floor):
+        found = found.join(part, "_x", "left")
+    found = found.select("_x", F.coalesce("exact", "close", "inch", "below").alias("dn"))
+    return rows.withColumn("_x", F.col(od).cast("double")).join(found, "_x", "left").drop("_x")
 
 
 def inches_to_dn(rows: DataFrame, nps: str, sizes: DataFrame) -> DataFrame:
@@ -92,26 +106,22 @@ def inches_to_dn(rows: DataFrame, nps: str, sizes: DataFrame) -> DataFrame:
     return rows.join(known, nps, "left").withColumn("dn", F.coalesce("_dn", F.bround(F.col(nps).try_cast("double") * 25).cast("int"))).drop("_dn")
 
 
-def longest_keyword(rows: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
-    """rows with keyword and value of the longest keyword that the text contains; of equally long ones the first."""
-    ordered = keywords.select(F.struct(-F.length("keyword"), F.col("ord")).alias("k"), "keyword", "value")
-    wide = beside(rows, as_array(ordered, "_keywords", "k", "keyword", "value"))
-    hit = F.try_element_at(F.filter("_keywords", lambda e: F.contains(text, e["keyword"])), F.lit(1))
-    return wide.withColumn("keyword", hit["keyword"]).withColumn("value", hit["value"]).drop("_keywords")
-
-
 def classify_standard(rows: DataFrame, code: str, standards: DataFrame) -> DataFrame:
     """rows with category of the first entry that equals the code, or does so without its suffix, or has its digits.
 
     standards: ord, std, category. Entries are tried in their order, so an earlier one's digits come before a later one's
-    equal code.
+    equal code. Each way to agree is a join by equality with the first entry of its key.
     """
-    wide = beside(rows, as_array(standards, "_standards", "ord", "std", "category"))
     base = lambda c: F.regexp_extract(c, "^([A-Z/]*[0-9.]+)", 1)
     digits = lambda c: F.regexp_extract(c, "([0-9]+)", 1)
-    own = F.col(code)
-    agrees = lambda e: (e["std"] == own) | ((base(own) != "") & (base(e["std"]) == base(own))) | ((digits(own) != "") & (digits(e["std"]) == digits(own)))
-    return wide.withColumn("category", F.try_element_at(F.filter("_standards", agrees), F.lit(1))["category"]).drop("_standards")
+    out, best = rows, []
+    for i, form in enumerate((lambda c: F.col(c), base, digits)):
+        key, hit = f"_key{i}", f"_hit{i}"
+        first = standards.select(form("std").alias(key), "ord", "category").where(F.col(key) != "")
+        first = first.groupBy(key).agg(F.min(F.struct("ord", "category")).alias(hit))
+        out = out.withColumn(key, form(code)).join(first, key, "left").drop(key)
+        best.append(hit)
+    return out.withColumn("category", F.array_min(F.array_compact(F.array(*best)))["category"]).drop(*best)
 
 
 def first_source_wins(frames: list[DataFrame], key: str) -> DataFrame:

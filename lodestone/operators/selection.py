@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
 from .ordering import digest
 
 
@@ -75,7 +76,7 @@ def coverage_sample(rows: DataFrame, group: str, key: str, gains: dict[str, floa
         sized = left.alias("l").join(sizes.alias("r"), F.col("l._group").eqNullSafe(F.col("r._group"))).select("l.*", "r._parts")
         dealt = sized.withColumn("_part", F.conv(F.substring(digest("_key"), 1, 8), 16, 10).cast("long") % F.col("_parts"))
         kept = dealt.groupBy("_group", "_part").applyInPandas(choose, schema).select(F.col("_key").alias("_kept"))
-        left = left.join(kept, F.col("_key") == F.col("_kept"), "left_semi").checkpoint()
+        left = checkpointed(left.join(kept, F.col("_key") == F.col("_kept"), "left_semi"))
         chunk = max(chunk, 2 * limit)
     found = left.groupBy("_group").applyInPandas(choose, schema)
     return found.select(F.col("_group").alias(group), F.col("_key").alias(key), "nth", "score")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrow import automaton, fold, per_distinct
+
 
 def tag_spans(tokens: DataFrame, doc: str, at: str, tag: str, orphans: str = "drop") -> DataFrame:
     """doc, type, begin, end (exclusive): entities of B-, I- and O tags, by runs of positions that continue each other.
@@ -46,30 +46,44 @@ def without_overlaps(spans: Column, longest_wins: bool = True) -> Column:
     return F.aggregate(spans, F.slice(spans, 1, 0), step)
 
 
-def keyword_hits(text: Column, keywords: list[tuple[str, str, str]]) -> Column:
+#: What may not stand beside a keyword, by kind of edge.
+_EDGES = {"strict": re.compile("[A-Za-z0-9]"), "ideographs": re.compile("[A-Za-z0-9一-鿿]"), "loose": re.compile("[A-Za-z]"), "none": None}
+
+
+def keyword_hits(text: Column, keywords: list[tuple[str, str, str]], excluded: Column | None = None) -> Column:
     """array<struct<begin, end, code, keyword>>: every place of every keyword, in order of begin and falling length.
 
-    keywords: (code, keyword, boundary). `strict`: no letter or digit on either side; `loose`: no Latin letter;
-    `none`: anywhere. Places are code points from 0. One compiled scan for each boundary and keyword.
+    keywords: (code, keyword, edge). `strict`: no letter or digit on either side; `ideographs`: nor an ideograph; `loose`:
+    no Latin letter; `none`: anywhere. excluded: array<struct<begin, end>>, places within one of these don't count. Case is
+    ignored. Places are code points from 0. One automaton finds all keywords in one pass over a text. Null stays null.
     """
-    edge = {"strict": (r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"), "loose": (r"(?<![A-Za-z])", r"(?![A-Za-z])"), "none": ("", "")}
-    scans = [(code, word, re.compile(f"(?={edge[kind][0]}({re.escape(word)}){edge[kind][1]})", re.IGNORECASE)) for code, word, kind in keywords]
+    entries: dict[str, list[tuple[str, str, str]]] = {}
+    for code, word, edge in keywords:
+        entries.setdefault(fold(word), []).append((code, word, edge))
+    state: list = []
 
-    @F.pandas_udf("array<struct<begin: int, end: int, code: string, keyword: string>>")
-    def hits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for own in texts:
-            yield own.map(lambda t: sorted(({"begin": m.start(1), "end": m.end(1), "code": c, "keyword": w} for c, w, scan in scans for m in scan.finditer(t or "")), key=lambda h: (h["begin"], -h["end"], h["code"])))
+    def hits(t: str) -> list[dict]:
+        if not state:
+            state.append(automaton(entries))
+        out = []
+        for last, bare in state[0].iter(fold(t)):
+            begin, end = last + 1 - len(bare), last + 1
+            for code, word, edge in entries[bare]:
+                sign = _EDGES[edge]
+                if sign is None or not (begin and sign.match(t[begin - 1])) and not (end < len(t) and sign.match(t[end])):
+                    out.append({"begin": begin, "end": end, "code": code, "keyword": word})
+        return sorted(out, key=lambda h: (h["begin"], -h["end"], h["code"]))
 
-    return hits(text)
+    found = per_distinct(hits, "array<struct<begin: int, end: int, code: string, keyword: string>>")(text)
+    if excluded is None:
+        return found
+    return F.filter(found, lambda h: ~F.exists(excluded, lambda x: (x["begin"] <= h["begin"]) & (h["end"] <= x["end"])))
 
 
-def pressure_hits(text: Column) -> Column:
-    """array<struct<begin, sign, number>>: pressures with their signs where no comparison stands before them."""
-    shape = re.compile(r"(?<![A-Za-z0-9.<>≤≥])(?:(?P<a>PN|CLASS|CL)\s*(?P<x>\d+(?:\.\d+)?)|(?P<y>\d+(?:\.\d+)?)\s*(?P<b>MPA|BAR|LB))(?![A-Za-z0-9])", re.IGNORECASE)
+#: A pressure with its sign before or behind its number, where no comparison and no other word stands before it.
+PRESSURE = r"(?i)(?<![A-Za-z0-9.<>≤≥])(?:(?:PN|CLASS|CL)\s*[0-9]+(?:[.][0-9]+)?|[0-9]+(?:[.][0-9]+)?\s*(?:MPA|BAR|LB|#))(?![A-Za-z0-9])"
 
-    @F.pandas_udf("array<struct<begin: int, token: string>>")
-    def hits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for own in texts:
-            yield own.map(lambda t: [{"begin": m.start(), "token": m.group()} for m in shape.finditer(t or "")])
 
-    return hits(text)
+def pressure_hits(text: Column) -> Column:
+    """array<string>: pressures with their signs, in order, where no comparison stands before them."""
+    return F.regexp_extract_all(text, F.lit(PRESSURE), 0)

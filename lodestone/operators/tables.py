@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import checkpointed
+
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list, most: int = 1) -> DataFrame:
     """The first `most` rows of each key in this order."""
@@ -29,13 +31,19 @@ def match_by_occurrence(left: DataFrame, right: DataFrame, key: str, order: str)
 
 
 def exact_dedupe(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """One row per distinct content, the first in order; content is compared by a digest, so only digests are grouped with rows."""
-    return first_per_key(rows.withColumn("digest", F.sha2(F.to_json(F.struct(*columns)), 256)), ["digest"], [order])
+    """One row per distinct content, the first in order, with a digest of the content by which it is grouped."""
+    marked = rows.withColumn("digest", F.sha2(F.to_json(F.struct(*columns)), 256))
+    first = marked.groupBy("digest").agg(F.min_by(F.struct(*rows.columns), order).alias("_first"))
+    return first.select("_first.*", "digest")
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows whose key neither exists already nor came before."""
-    return first_per_key(rows.join(existing.select(key).distinct(), key, "left_anti"), [key], [order])
+    """Rows whose key neither exists already nor came before; keys are compared by a digest. A null key is new."""
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    known = existing.select(digest.alias("_digest")).distinct()
+    fresh = rows.withColumn("_digest", digest).join(known, "_digest", "left_anti")
+    first = fresh.groupBy("_digest").agg(F.min_by(F.struct(*rows.columns), order).alias("_first"))
+    return first.select("_first.*")
 
 
 def recent(rows: DataFrame, at: list, n: int, offset: int = 0) -> DataFrame:
@@ -85,23 +93,15 @@ def margin_score(scores: Column) -> Column:
 
 
 def queue_position(jobs: DataFrame, queued: Column, created: str, key: str) -> DataFrame:
-    """All queued jobs with their place in the queue.
+    """All queued jobs with their place in the queue, by (created, key).
 
-    Ranges of (created, key) with about as many jobs each are ranked apart, and a range's places follow those of
-    the ranges before it. Their bounds come from a sample of about 100 rows a range, at places hashed from the key.
+    Ranges of about as many jobs each are ranked apart, and a range's places follow those of the ranges before it. The
+    ranges are written once, so that both passes see the same.
     """
-    waiting = jobs.where(queued)
-    spark = jobs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = F.struct(created, key)
-    hashed = (F.pmod(F.xxhash64(key), F.lit(2**40)) + 1) / float(2**40 + 1)
-    sample = waiting.where(hashed <= 100 * ranges / max(1, waiting.count())).select(at.alias("at"))
-    found = sample.orderBy("at").collect()
-    bounds = spark.createDataFrame([found[i * len(found) // ranges] for i in range(1, ranges)] if found else [], sample.schema)
-    bounds = bounds.agg(F.collect_list("at").alias("_bounds"))
-    nth = F.size(F.filter("_bounds", lambda b: b <= at))
-    dealt = waiting.crossJoin(F.broadcast(bounds)).withColumn("_range", nth).drop("_bounds")
+    ranges = jobs.where(queued).repartitionByRange(F.col(created), F.col(key)).withColumn("_range", F.spark_partition_id())
+    dealt = checkpointed(ranges)
     before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row for each range, no more than spark.sql.shuffle.partitions
     offsets = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
     place = F.row_number().over(W.partitionBy("_range").orderBy(created, key)) + F.col("_before")
     return dealt.join(F.broadcast(offsets), "_range").withColumn("position", place).drop("_range", "_before")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
+
 #: Scores are rounded, so that equal vectors tie wherever they are compared; distances may be off by that much.
 DECIMALS, SLACK = 9, 1e-4
 
@@ -169,7 +171,7 @@ def nearest_names(index: Index | None, queries: DataFrame, query: str, vector: s
         return pairs.groupBy("query", "name").agg(F.max("score").alias("score"), F.min_by("code", F.struct(-F.col("score"), F.col("code"))).alias("code"))
 
     order = W.partitionBy("query").orderBy(F.desc("score"), "name")
-    first = search(asked, True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("rank").checkpoint()
+    first = checkpointed(search(asked, True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("rank"))
     tighter = first.groupBy("query").agg(F.when(F.count("*") == top, F.sqrt(F.greatest(2 - 2 * F.min("score"), F.lit(0.0))) + SLACK).alias("_reach"))
     rest = search(asked.join(tighter, "query", "left").withColumn("reach", F.least("reach", "_reach")).drop("_reach"), False)
     both = first.select("query", "name", "score", "code").unionByName(rest)

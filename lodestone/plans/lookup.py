@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import aliases as A
 from ..operators import lookup as L
 from ..sources.tables import described, table
 from .text import _D
@@ -31,8 +32,9 @@ def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alias_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.alias_conflicts(spark.createDataFrame(TYPES, "ord int, name string, aliases array<string>, code string"), "aliases", "name")
-    return found.select("alias", F.array_join("categories", ",").alias("categories"))
+    """Words of the parts' names and types that stand for more than one brand."""
+    p = table(spark, sf_dir, "part").withColumn("aliases", F.split(F.concat_ws(" ", "p_name", "p_type"), " "))
+    return L.alias_conflicts(p, "aliases", "p_brand").select("alias", F.array_join("categories", ",").alias("categories"))
 
 
 def three_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def nps_to_dn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.longest_keyword(described(spark, sf_dir), "description", spark.createDataFrame(KEYWORDS, "ord int, keyword string, value string"))
+    found = A.longest_contained(described(spark, sf_dir), "p_partkey", "description", spark.createDataFrame(KEYWORDS, "ord int, keyword string, value string"))
     return found.select("p_partkey", "keyword", "value")
 
 
@@ -97,8 +99,8 @@ ORACLES = {
 a AS (SELECT lower(alias) AS alias, arg_min(name, ord) AS name, arg_min(code, ord) AS code FROM (SELECT ord, name, code, unnest(aliases) AS alias FROM t) GROUP BY 1)
 SELECT p_partkey, word, coalesce(t.name, a.name) AS matched, coalesce(t.code, a.code) AS code FROM p LEFT JOIN t ON t.name = word LEFT JOIN a ON a.alias = lower(word)""",
     "alias_map": "SELECT alias, arg_max(p_brand, p_partkey) AS code FROM (SELECT p_partkey, p_brand, upper(trim(unnest(string_split(p_type, ' ')))) AS alias FROM part) GROUP BY alias",
-    "alias_conflicts": f"""WITH {_values("t", "ord, name, aliases, code", TYPES)} SELECT alias, string_agg(DISTINCT name, ',' ORDER BY name) AS categories
-FROM (SELECT name, unnest(aliases) AS alias FROM t) GROUP BY alias HAVING count(DISTINCT name) > 1""",
+    "alias_conflicts": """SELECT alias, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS categories FROM (SELECT p_brand, unnest(string_split(concat_ws(' ', p_name, p_type), ' ')) AS alias FROM part)
+GROUP BY alias HAVING count(DISTINCT p_brand) > 1""",
     "three_keys": """WITH r AS (SELECT p_partkey, p_partkey % 5 AS std, p_size % 4 AS dn, p_size % 3 AS code FROM part),
 d AS (SELECT p_partkey AS ord, p_partkey % 3 AS std, p_size % 4 AS dn, p_size % 3 AS code, [p_partkey % 5, 3] AS applies, p_size AS wall FROM part WHERE p_partkey <= 40)
 SELECT p_partkey, coalesce((SELECT arg_min(wall, ord) FROM d WHERE d.std = r.std AND d.dn = r.dn AND d.code = r.code),

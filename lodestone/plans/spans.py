@@ -67,14 +67,14 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy choice among the places of a few keywords: none over another, of two the longer."""
     words = [("A", "PN1", "none"), ("B", "PN16", "strict"), ("C", "GB/T 80", "none"), ("D", "T 801", "none"), ("E", "SCH", "loose"), ("F", "SCH80", "strict")]
-    hits = described(spark, sf_dir).select("p_partkey", S.keyword_hits(F.regexp_extract("description", " SCH.* GB/T [0-9]+ ", 0), words).alias("hits"))
+    hits = described(spark, sf_dir).select("p_partkey", S.keyword_hits(F.col("description"), words).alias("hits"))
     return hits.select("p_partkey", F.array_join(F.transform(S.without_overlaps(F.col("hits")), lambda h: h["code"]), "").alias("codes"))
 
 
 def pressure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct pressure codes of a description; several that differ are a conflict."""
     hits = described(spark, sf_dir).select("p_partkey", S.pressure_hits(F.col("description")).alias("hits"))
-    each = hits.select("p_partkey", F.posexplode("hits").alias("nth", "hit")).withColumn("code", pressure_code(F.col("hit.token"))).where("code <> ''")
+    each = hits.select("p_partkey", F.posexplode("hits").alias("nth", "hit")).withColumn("code", pressure_code(F.col("hit"))).where("code <> ''")
     found = each.groupBy("p_partkey").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("nth", "code"))), lambda x: x["code"])).alias("codes"))
     return found.select("p_partkey", F.array_join("codes", ",").alias("codes"), (F.size("codes") > 1).alias("conflict"))
 

@@ -2,39 +2,93 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: What a CSV file is read in if it isn't UTF-8.
-OTHER_ENCODING = "gb18030"
+#: Bytes that are decoded at a time.
+_PIECE = 1 << 20
 
+#: What a CSV file may be written in, the first that all its bytes fit.
+ENCODINGS = ("utf-8", "gb18030")
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text. Files are UTF-8, with or without a byte order mark, or else GB18030.
 
-    UTF-8 is read and split by Spark. The other encoding, which uploaded sheets have, is decoded a whole file a task.
-    """
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    names = [c.lstrip("\ufeff") for c in rows.columns]
-    bad = [F.contains(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit("\ufffd")) for c in rows.columns]
-    if not any("\ufffd" in c for c in names) and not rows.where(F.greatest(*bad, F.lit(False))).limit(1).count():
-        return rows.toDF(*names)
-    whole = spark.read.format("binaryFile").load(path).select("content")
-    head = bytes(whole.select(F.expr("substring(content, 1, 65536)").alias("head")).first()["head"]).decode(OTHER_ENCODING, "ignore")
-    names = next(csv.reader(io.StringIO(head)))
-
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """path, encoding, header of each file: the first encoding that all its bytes fit, null if none does, and its first record."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for content in batch["content"]:
+                data = content.as_buffer()
+                encoding = next((e for e in ENCODINGS if _fits(data, e)), None)
+                found.append((encoding, next(_records(data, encoding), []) if encoding else None))
+            names = [pa.array([e for e, _ in found], pa.string()), pa.array([h for _, h in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch["path"], *names], ["path", "encoding", "header"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(told, "path string, encoding string, header array<string>")
+
+
+def _fits(data: pa.Buffer, encoding: str) -> bool:
+    decoder = codecs.getincrementaldecoder(encoding)("strict")
+    try:
+        for at in range(0, max(1, len(data)), _PIECE):
+            decoder.decode(data.slice(at, min(_PIECE, len(data) - at)).to_pybytes(), at + _PIECE >= len(data))
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _records(data: pa.Buffer, encoding: str) -> Iterator[list[str]]:
+    lines = io.TextIOWrapper(pa.BufferReader(data), encoding=encoding.replace("utf-8", "utf-8-sig"), newline="")
+    return csv.reader(lines)
+
+
+def _decoded(spark: SparkSession, paths: list[str], encoding: str, header: list[str]) -> DataFrame:
+    """Files of one header in an encoding that Spark's own reader doesn't take; records leave a task as they are read."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"]:
-                yield pd.read_csv(io.BytesIO(content), encoding=OTHER_ENCODING, encoding_errors="replace", dtype=str, names=names, header=0)
+                records = islice(_records(content.as_buffer(), encoding), 1, None)
+                while part := list(islice(records, 10_000)):
+                    cells = [[(r[i] or None) if i < len(r) else None for r in part if r] for i in range(len(header))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cells], names)
+
+    names = [f"c{i}" for i in range(len(header))]
+    whole = spark.read.format("binaryFile").load(paths).select("content")
+    return whole.mapInArrow(rows, ", ".join(f"{n} string" for n in names)).toDF(*header)
 
-    return whole.mapInPandas(decoded, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text, as they are written; an empty cell is null. Columns of all files by name.
+
+    Each file of a folder is UTF-8, with or without a byte order mark, or else GB18030, as its own bytes say; one that
+    is neither is an error. Spark reads and splits UTF-8; a file in the other encoding is one task's work.
+    """
+    files = encodings(spark, path).collect()  # names and headers of files, not their content
+    broken = sorted(r["path"] for r in files if r["encoding"] is None)
+    if broken:
+        raise ValueError(f"neither {' nor '.join(ENCODINGS)}: {', '.join(broken[:5])}")
+    groups: dict[tuple, list[str]] = {}
+    for r in files:
+        groups.setdefault((ENCODINGS.index(r["encoding"]), tuple(r["header"])), []).append(r["path"])
+    frames = []
+    for (nth, header), paths in sorted(groups.items()):
+        if nth:
+            frames.append(_decoded(spark, sorted(paths), ENCODINGS[nth], list(header)))
+        else:
+            rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(sorted(paths))
+            frames.append(rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

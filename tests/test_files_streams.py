@@ -1,5 +1,6 @@
 """Sources, the keyed store, and streams against tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.plans import events as plans
@@ -16,6 +17,18 @@ def test_csv_encodings(spark, tmp_path):
         assert [(r["名称"], r["size"]) for r in rows] == [('无缝钢管, "20#"', "50"), ("弯头", None)]
 
 
+def test_csv_folder_of_mixed_encodings(spark, tmp_path):
+    """Each file by its own bytes; a replacement character and NA stay what they are."""
+    (tmp_path / "in.csv").mkdir()
+    for name, encoding, row in (("a", "utf-8-sig", "管\ufffd,NA"), ("b", "gb18030", "弯头,NA"), ("c", "utf-8", "三通,")):
+        (tmp_path / "in.csv" / f"{name}.csv").write_bytes(f"名称,size\n{row}\n".encode(encoding))
+    rows = files.read_table(spark, f"{tmp_path}/in.csv").collect()
+    assert sorted((r["名称"], r["size"]) for r in rows) == sorted([("管\ufffd", "NA"), ("弯头", "NA"), ("三通", None)])
+    (tmp_path / "in.csv" / "d.csv").write_bytes(b"a,b\n\xff\xff\xff,1\n")
+    with pytest.raises(ValueError, match="d.csv"):
+        files.read_csv(spark, f"{tmp_path}/in.csv")
+
+
 def test_unknown_suffix(spark):
     try:
         files.read_table(spark, "/tmp/x.bin")
