@@ -16,9 +16,9 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-_BLOCK = "dim int, block int, rows int, ids binary, lows binary, widths binary, slices binary"
-_QUERIES = "dim int, ids binary, vectors binary"
-_HITS = "query_id long, vec_id long, score long"
+_BLOCK = "dim int, block int, rows int, ids binary, numbers binary, lows binary, widths binary, slices binary"
+_QUERIES = "dim int, ids binary, numbers binary, vectors binary"
+_HITS = "query_row long, query_id long, vec_id long, row long, score long"
 
 
 def quantise(vector: Column, scale: int = 1024) -> Column:
@@ -32,13 +32,14 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """vec_id, q (array<long>): the usable vectors, each (vec_id, q) once."""
-    return vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantise(F.col("embedding"), scale).alias("q")).distinct()
+    """vec_id, q (array<long>), row: the usable vectors, each row with a number of its own; write them before they are read twice."""
+    fine = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    return fine.select(F.col("vec_id").cast("long").alias("vec_id"), quantise(F.col("embedding"), scale).alias("q"), F.monotonically_increasing_id().alias("row"))
 
 
-def _by_dim(batch: pa.RecordBatch, part: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Rows in blocks of vectors of one length, at most `part` rows each."""
-    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+def _by_dim(batch: pa.RecordBatch, part: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, ids, row numbers, vectors) in blocks of vectors of one length, at most `part` rows each."""
+    ids, numbers = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "row"))
     lists = batch.column("q")
     lengths = np.diff(lists.offsets.to_numpy())
     flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
@@ -46,7 +47,7 @@ def _by_dim(batch: pa.RecordBatch, part: int) -> Iterator[tuple[int, np.ndarray,
         rows = np.flatnonzero(lengths == dim)
         for k in range(0, len(rows), part):
             own = rows[k : k + part]
-            yield int(dim), ids[own].astype(np.int64), flat[(at[own][:, None] + np.arange(dim)).ravel()].reshape(len(own), dim).astype(np.int64)
+            yield int(dim), ids[own].astype(np.int64), numbers[own].astype(np.int64), flat[(at[own][:, None] + np.arange(dim)).ravel()].reshape(len(own), dim).astype(np.int64)
 
 
 def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -57,7 +58,7 @@ def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for dim, ids, x in _by_dim(batch, block_rows):
+            for dim, ids, numbers, x in _by_dim(batch, block_rows):
                 lows = x.min(axis=0) if dim else np.zeros(0, np.int64)
                 above = (x - lows).astype(np.uint64)
                 widths = np.array([int(c).bit_length() for c in above.max(axis=0)], np.int32) if dim else np.zeros(0, np.int32)
@@ -70,7 +71,7 @@ def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
                         slices[k, : len(bits)] = bits
                         k += 1
                 # blocks of a partition get numbers of their own, spread over the groups of the search
-                yield pa.RecordBatch.from_pylist([{"dim": dim, "block": part + 100_003 * n, "rows": len(ids), "ids": ids.tobytes(), "lows": lows.tobytes(), "widths": widths.tobytes(), "slices": slices.tobytes()}], schema=_arrow(_BLOCK))
+                yield pa.RecordBatch.from_pylist([{"dim": dim, "block": part + 100_003 * n, "rows": len(ids), "ids": ids.tobytes(), "numbers": numbers.tobytes(), "lows": lows.tobytes(), "widths": widths.tobytes(), "slices": slices.tobytes()}], schema=_arrow(_BLOCK))
                 n += 1
 
     return rows.mapInArrow(blocks, _BLOCK)
@@ -84,8 +85,8 @@ def _arrow(ddl: str) -> pa.Schema:
 def query_blocks(rows: DataFrame, size: int = QUERY_ROWS) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, ids, x in _by_dim(batch, size):
-                yield pa.RecordBatch.from_pylist([{"dim": dim, "ids": ids.tobytes(), "vectors": x.tobytes()}], schema=_arrow(_QUERIES))
+            for dim, ids, numbers, x in _by_dim(batch, size):
+                yield pa.RecordBatch.from_pylist([{"dim": dim, "ids": ids.tobytes(), "numbers": numbers.tobytes(), "vectors": x.tobytes()}], schema=_arrow(_QUERIES))
 
     return rows.mapInArrow(blocks, _QUERIES)
 
@@ -124,10 +125,10 @@ class _Sum:
         return [at[0] if at else None for at in self.waiting]
 
 
-def search_block(ids: np.ndarray, lows: np.ndarray, widths: np.ndarray, slices: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, row id, score) of each query's k best rows of one block, ties to the smaller id."""
+def search_block(ids: np.ndarray, numbers: np.ndarray, lows: np.ndarray, widths: np.ndarray, slices: np.ndarray, query_ids: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(query row, query id, id, row, score) of each query's k best rows of one block but its own, ties to the smaller id."""
     n, words = len(ids), slices.shape[1] if slices.size else -(-len(ids) // 64)
-    total, row = _Sum(), 0
+    total, row_of = _Sum(), 0
     size, sign = np.abs(queries).astype(np.uint64), queries < 0
     for d, width in enumerate(widths):
         top = int(size[:, d].max()).bit_length() if len(size) else 0
@@ -139,15 +140,15 @@ def search_block(ids: np.ndarray, lows: np.ndarray, widths: np.ndarray, slices:
             flipped = np.where(sign[:, d], ONES, np.uint64(0))[:, None]
             for j in range(width):
                 # a negative factor adds the complement: the same order of rows, up to a constant per query
-                bitmap = slices[row + j][None, :] ^ flipped
+                bitmap = slices[row_of + j][None, :] ^ flipped
                 bitmap &= used
                 total.add(bitmap, b + j)
-        row += width
+        row_of += width
     alive = np.zeros(words * 8, np.uint8)
     bits = np.packbits(np.ones(n, np.uint8), bitorder="little")
     alive[: len(bits)] = bits
     ties = np.repeat(alive.view(np.uint64)[None, :], len(query_ids), axis=0)
-    for q, own in zip(*np.nonzero(query_ids[:, None] == ids[None, :]), strict=True):
+    for q, own in zip(*np.nonzero(query_rows[:, None] == numbers[None, :]), strict=True):
         ties[q, own // 64] &= ~(np.uint64(1) << np.uint64(own % 64))
     sure = np.zeros_like(ties)
     for bitmap in reversed(total.slices()):
@@ -166,44 +167,45 @@ def search_block(ids: np.ndarray, lows: np.ndarray, widths: np.ndarray, slices:
         certain, tied = rows_of(sure), rows_of(ties)
         left = k - len(certain)
         if len(tied) > left:
-            tied = tied[np.lexsort((tied, ids[tied]))[:left]] if left > 0 else tied[:0]
+            tied = tied[np.lexsort((numbers[tied], ids[tied]))[:left]] if left > 0 else tied[:0]
         chosen = np.concatenate([certain, tied])
         x = np.repeat(lows[None, :], len(chosen), axis=0)
         if len(owner):
             picked = (slices[:, chosen // 64] >> (chosen % 64).astype(np.uint64)) & np.uint64(1)
             np.add.at(x.T, np.array(owner), picked.astype(np.int64) * np.array(weights, np.int64)[:, None])
-        for i, score in zip(ids[chosen], x @ queries[q], strict=True):
-            yield int(query_ids[q]), int(i), int(score)
+        for i, row, score in zip(ids[chosen], numbers[chosen], x @ queries[q], strict=True):
+            yield int(query_rows[q]), int(query_ids[q]), int(i), int(row), int(score)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query its k best rows of other ids, ties to the smaller vec_id.
+    """query_id, rank, vec_id, score: for each query row its k best rows but itself, ties to the smaller vec_id.
 
-    rows, queries: vec_id, q (array<long>). Only vectors of the query's length are compared. The rows become
+    rows, queries: vec_id, q (array<long>), row (a number of its own, the same in both). Only vectors of the query's length are compared. The rows become
     blocks of bitmaps, a slice per bit of each dimension; a block adds the slices that a query's factors ask
     for, picks its best rows from the most significant slice of the sums downward, and resolves the rows
     that tie at the boundary by id. The query set meets the rows in blocks: index blocks are shuffled once,
     query blocks to each group of index blocks, and of every meeting k rows a query are kept.
 
-    A repeated (vec_id, vector) counts once. Empty tables: empty result. Scores must fit 64 bits.
+    Repeated rows and ids are rows of their own, each found as often as it stands there; of queries with one id each has
+    its ranks. Other columns don't matter. Empty tables: empty result. Scores must fit 64 bits.
     """
     spark = rows.sparkSession
     groups = max(1, partitions(spark))
     index = saved(build_index(rows, block_rows), "bitslices").withColumn("group", F.pmod(F.xxhash64("dim", "block"), F.lit(groups)))
     asked = query_blocks(queries.coalesce(max(1, groups // 8)), query_rows).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    asked = asked.withColumnRenamed("ids", "query_ids")
+    asked = asked.withColumnsRenamed({"ids": "query_ids", "numbers": "query_numbers"})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 ids, lows, widths = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["lows"], np.int64), np.frombuffer(r["widths"], np.int32)
                 slices = np.frombuffer(r["slices"], np.uint64).reshape(int(widths.sum()), -(-len(ids) // 64))
-                query_ids = np.frombuffer(r["query_ids"], np.int64)
+                numbers, query_ids, query_rows = (np.frombuffer(r[c], np.int64) for c in ("numbers", "query_ids", "query_numbers"))
                 vectors = np.frombuffer(r["vectors"], np.int64).reshape(len(query_ids), -1)
-                hits = list(search_block(ids, lows, widths, slices, query_ids, vectors, k))
+                hits = list(search_block(ids, numbers, lows, widths, slices, query_ids, query_rows, vectors, k))
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits, strict=True)], schema=_arrow(_HITS))
 
-    hits = index.join(asked, ["dim", "group"]).select("ids", "lows", "widths", "slices", "query_ids", "vectors").mapInArrow(search, _HITS)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = index.join(asked, ["dim", "group"]).select("ids", "numbers", "lows", "widths", "slices", "query_ids", "query_numbers", "vectors").mapInArrow(search, _HITS)
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
