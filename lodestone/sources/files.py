@@ -99,7 +99,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if suffix == "parquet":
         return spark.read.parquet(path)
     if suffix in ("json", "jsonl"):
-        return spark.read.option("multiLine", suffix == "json").json(path)
+        return read_json(spark, path)
     raise ValueError(f"no reader for files of this kind: {path}")
 
 
@@ -124,14 +124,70 @@ def write_tagged(tokens: DataFrame, path: str) -> None:
     tokens.groupBy("sentence").agg(F.concat(F.array_join(lines, "\n")).alias("value")).select("value").write.option("lineSep", "\n\n").text(path)
 
 
-def append_version(rows: DataFrame, path: str, version: int) -> None:
-    """Rows as one version of a keyed store: a folder of its own, so writing it again changes nothing."""
-    rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/of={version}")
+_LOG = "version long, columns array<string>, whole boolean"
 
 
-def read_latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
-    """Of each key the row of the newest version."""
-    rows = spark.read.parquet(path).drop("of")
-    rest = [c for c in rows.columns if c not in key]
-    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "version").alias("row"))
-    return newest.select(*key, "row.*")
+def append_version(rows: DataFrame, path: str, version: int, whole: bool = False) -> None:
+    """Rows as one version of a keyed store: whole rows, or the key and the columns that change.
+
+    The rows are written to a folder of the version's own, and only then does the store's log name it. A write that fails
+    leaves the store as it was; writing a version again changes nothing. whole: the rows are all there is, so readers
+    need no earlier version.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/of={version}")
+    spark.createDataFrame([(version, rows.columns, whole)], _LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def read_latest(spark: SparkSession, path: str, key: list[str], upto: int | None = None) -> DataFrame:
+    """Of each key the newest value of each column, and the newest version that has the key.
+
+    A column keeps its value through versions that don't have it; a null that a version writes is a value. upto: as the
+    store was at that version. One aggregate by key over the named versions; a filter on the key reaches their scans.
+    """
+    log = spark.read.schema(_LOG).parquet(f"{path}/log").distinct().orderBy("version").collect()
+    log = [r for r in log if upto is None or r["version"] <= upto]
+    first = max((r["version"] for r in log if r["whole"]), default=None)
+    named = {r["version"]: r["columns"] for r in log if first is None or r["version"] >= first}
+    if not named:
+        raise ValueError(f"no version at {path}")
+    frames = [spark.read.parquet(f"{path}/of={v}").select(*columns).withColumn("_version", F.lit(v)) for v, columns in named.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    rest = [c for c in rows.columns if c not in (*key, "_version")]
+    holds = lambda c: F.when(F.col("_version").isin([v for v, columns in named.items() if c in columns]), F.col("_version"))
+    newest = [F.max_by(F.struct(c), holds(c))[c].alias(c) for c in rest]
+    return rows.groupBy(*key).agg(*newest, F.max("_version").alias("version"))
+
+
+def compact(spark: SparkSession, path: str, key: list[str], version: int) -> None:
+    """All that the store says as one whole version, after which earlier ones aren't read."""
+    append_version(read_latest(spark, path, key).drop("version"), path, version, whole=True)
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str, rows_per_file: int = 50_000) -> None:
+    """A report of several tables: a folder of CSV files each, none with more rows than that, names in the first row."""
+    for name, rows in sheets.items():
+        plain = rows.select(*(F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, kind in rows.dtypes))
+        plain.write.mode("overwrite").option("header", True).option("escape", '"').option("maxRecordsPerFile", rows_per_file).csv(f"{path}/{name}.csv")
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Objects of files that are a JSON array or lines of JSON, told by each file's first character.
+
+    Arrays are parsed whole, a file a task; lines are split.
+    """
+    heads = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.substring(F.ltrim("value"), 1, 1).alias("first"))
+    files = heads.groupBy("first").agg(F.collect_list("path").alias("paths")).collect()
+    frames = []
+    for array in (True, False):
+        own = sorted(p for r in files if (r["first"] == "[") == array for p in r["paths"])
+        if own:
+            frames.append(spark.read.option("multiLine", array).json(own))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_number, line: lines of JSON files that aren't objects, with their numbers from 1, blank ones left aside."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("nth", "line"))
+    bad = F.try_parse_json("line").isNull() | ~F.startswith(F.ltrim("line"), F.lit("{"))
+    return whole.where((F.trim("line") != "") & bad).select("file", (F.col("nth") + 1).alias("line_number"), "line")

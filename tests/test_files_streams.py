@@ -63,6 +63,42 @@ def test_keyed_store(spark, tmp_path):
     assert {(r.k, r.v) for r in files.read_latest(spark, f"{tmp_path}/s", ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
+def test_columns_of_a_store(spark, tmp_path):
+    """Columns change by key; a failed write leaves the old version readable, and so does an earlier version."""
+    path = f"{tmp_path}/s"
+    files.append_version(spark.createDataFrame([(1, "new", 0), (2, "new", 0)], "k int, status string, done int"), path, 1)
+    files.append_version(spark.createDataFrame([(1, 5), (3, 1)], "k int, done int"), path, 2)
+    files.append_version(spark.createDataFrame([(2, None)], "k int, status string"), path, 3)
+    said = lambda upto=None: {(r.k, r.status, r.done, r.version) for r in files.read_latest(spark, path, ["k"], upto).collect()}
+    assert said() == {(1, "new", 5, 2), (2, None, 0, 3), (3, None, 1, 2)}
+    assert said(1) == {(1, "new", 0, 1), (2, "new", 0, 1)}
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        files.append_version(spark.range(4).select(F.col("id").cast("int").alias("k"), (F.lit(1) / (F.col("id") - 3)).cast("int").alias("done")), path, 4)
+    assert said() == {(1, "new", 5, 2), (2, None, 0, 3), (3, None, 1, 2)}
+    files.compact(spark, path, ["k"], 5)
+    assert {r[:3] for r in said()} == {(1, "new", 5), (2, None, 0), (3, None, 1)}
+    assert files.read_latest(spark, path, ["k"]).where("k = 2").collect()[0].done == 0
+    with pytest.raises(ValueError):
+        files.read_latest(spark, path, ["k"], 0)
+
+
+def test_json_by_first_character(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(' [{"a": 1},\n {"a": 2, "b": "x"}]')
+    (tmp_path / "in" / "b.json").write_text('{"a": 3}\n\n{"a": 4}\n')
+    assert {(r.a, r.b) for r in files.read_json(spark, f"{tmp_path}/in").collect()} == {(1, None), (2, "x"), (3, None), (4, None)}
+    (tmp_path / "c.jsonl").write_text('{"a": 1}\n\n[1]\n{"a":')
+    assert [(r.line_number, r.line) for r in files.broken_lines(spark, f"{tmp_path}/c.jsonl").collect()] == [(3, "[1]"), (4, '{"a":')]
+
+
+def test_sheets(spark, tmp_path):
+    rows = spark.range(25).select(F.col("id").cast("string").alias("名称"), F.array("id").alias("items")).coalesce(1)
+    files.write_sheets({"detail": rows, "summary": rows.limit(1)}, f"{tmp_path}/out", 10)
+    assert len(list((tmp_path / "out" / "detail.csv").glob("part-*.csv"))) == 3
+    back = files.read_csv(spark, f"{tmp_path}/out/detail.csv")
+    assert sorted((r["名称"], r["items"]) for r in back.collect()) == sorted((str(i), f"[{i}]") for i in range(25))
+
+
 def test_streams_give_what_tables_give(spark, tmp_path):
     table = plans._events(spark, SF_DIR)
     table.repartition(3).write.parquet(f"{tmp_path}/in")
