@@ -57,10 +57,10 @@ def queue_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (job_progress, job_events, tumbling, sliding, sessions, fifo_schedule, queue_changes)}
 _WINDOW = """SELECT w AS begin, w + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 4) AS value FROM {} GROUP BY w, event_type"""
 ORACLES = {
-    "fifo_schedule": """WITH RECURSIVE j AS (SELECT o_orderkey, o_custkey % 53 AS queue, CAST(floor(epoch(CAST(o_orderdate AS TIMESTAMP)) / 3600) AS BIGINT) AS at, CAST(floor(o_totalprice / 1000) AS BIGINT) AS takes FROM orders),
-n AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY at, o_orderkey) AS r FROM j),
-s(queue, r, o_orderkey, started, finished) AS (SELECT queue, r, o_orderkey, at, at + takes FROM n WHERE r = 1 UNION ALL
- SELECT n.queue, n.r, n.o_orderkey, greatest(n.at, s.finished), greatest(n.at, s.finished) + n.takes FROM s JOIN n ON n.queue = s.queue AND n.r = s.r + 1)
+    "fifo_schedule": """WITH RECURSIVE j AS (SELECT o_orderkey, o_custkey % 53 AS queue, CAST(floor(epoch(CAST(o_orderdate AS TIMESTAMP)) / 3600) AS BIGINT) AS born, CAST(floor(o_totalprice / 1000) AS BIGINT) AS takes FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY born, o_orderkey) AS r FROM j),
+s(queue, r, o_orderkey, started, finished) AS (SELECT queue, r, o_orderkey, born, born + takes FROM n WHERE r = 1 UNION ALL
+ SELECT n.queue, n.r, n.o_orderkey, greatest(n.born, s.finished), greatest(n.born, s.finished) + n.takes FROM s JOIN n ON n.queue = s.queue AND n.r = s.r + 1)
 SELECT o_orderkey, queue, started, finished FROM s""",
     "job_progress": """SELECT user_id, count(*) AS processed, count(*) FILTER (event_type = 'purchase' AND event_id % 10 > 0) AS success, count(*) FILTER (event_type = 'error' AND event_id % 10 > 0) AS review FROM events GROUP BY 1""",
     "job_events": """WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),

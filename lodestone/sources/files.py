@@ -176,7 +176,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
     Arrays are parsed whole, a file a task; lines are split.
     """
-    heads = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.substring(F.ltrim("value"), 1, 1).alias("first"))
+    heads = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.substring(F.ltrim("value"), 1, 1).alias("first"))
     files = heads.groupBy("first").agg(F.collect_list("path").alias("paths")).collect()
     frames = []
     for array in (True, False):
@@ -188,6 +188,6 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_number, line: lines of JSON files that aren't objects, with their numbers from 1, blank ones left aside."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("nth", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("nth", "line"))
     bad = F.try_parse_json("line").isNull() | ~F.startswith(F.ltrim("line"), F.lit("{"))
     return whole.where((F.trim("line") != "") & bad).select("file", (F.col("nth") + 1).alias("line_number"), "line")

@@ -129,7 +129,8 @@ def replay(events: DataFrame, keep_seconds: float, until: Column | None = None)
         for row in rows.sort_values(["at", "nth"]).itertuples():
             out += q.event(row.kind, row.job, row.at.timestamp())
         out += q.forget(rows["until"].iloc[0].timestamp()) if "until" in rows and not pd.isna(rows["until"].iloc[0]) else []
-        return pd.DataFrame([(key[0], job, state, pd.Timestamp(at, unit="s")) for job, state, at in out], columns=["queue", "job", "state", "at"])
+        told = pd.DataFrame([(key[0], job, state, round(at * 1e6)) for job, state, at in out], columns=["queue", "job", "state", "at"])
+        return told.assign(at=pd.to_datetime(told["at"].astype("int64"), unit="us"))
 
     rows = events.select("queue", "nth", "job", "kind", "at") if until is None else events.select("queue", "nth", "job", "kind", "at", until.alias("until"))
     return rows.groupBy("queue").applyInPandas(run, CHANGES)
