@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, choice, codes, events, extraction, frequency, lookup, matching, routing, spans, tables, text
+from .plans import analytics, choice, codes, encoding, events, extraction, frequency, lookup, matching, routing, spans, tables, text
 
-MODULES = (frequency, analytics, tables, text, lookup, spans, routing, events, codes, matching, choice, extraction)
+MODULES = (frequency, analytics, tables, text, lookup, spans, routing, events, codes, matching, choice, extraction, encoding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrow import per_distinct
+from .segments import glued_parts
 from .text import CLASSES, NOMINAL, SPECIAL_WALLS
 
 #: Nominal sizes in common use, by which a bare whole number may be a size.
@@ -341,3 +342,74 @@ def evidence_hits(text: Column, items: Column) -> Column:
     """array<struct<item, rank, begin, end, kind>> of items: array<struct<type, value>>; see evidence(). Null stays null."""
     hits = per_distinct(lambda t, i: evidence(t, json.loads(i)), "array<struct<item: int, rank: int, begin: int, end: int, kind: string>>")
     return hits(text, F.to_json(items))
+
+
+def wall_parts(value: str) -> list[str]:
+    """Codes of the walls of a field's value, neighbours that are equal once: S10S, 6.3MM, XXS.
+
+    A number without a sign or unit is a schedule's if it hangs on one, and millimetres otherwise.
+    """
+    glued = glued_parts(value.strip()) if value.strip() else []
+    text = " / ".join(glued) if len(glued) > 1 else value
+    codes: list[str] = []
+    for chain in chains(text):
+        schedule = False
+        for q in chain:
+            schedule = q.kind == "SCHEDULE" or schedule and not q.kind
+            if "/" in q.value:  # inches aren't a wall's
+                continue
+            if q.value in SPECIAL_WALLS:
+                code = q.value
+            elif schedule:
+                code = f"S{q.value}{'S' if q.unit == 'S' else ''}"
+            else:
+                code = f"{plain_number(float(q.value))}MM"
+            if codes[-1:] != [code]:
+                codes.append(code)
+    return codes
+
+
+def wall_values(c: Column) -> Column:
+    """The wall code of a field's value: its parts joined by X; the value in capitals if it has none, '' for null."""
+
+    def code(value: str) -> str:
+        return "X".join(wall_parts(value)) or value.strip().upper()
+
+    return per_distinct(code, "string")(F.coalesce(c, F.lit("")))
+
+
+def _inches(value: str) -> float:
+    whole, _, part = value.replace("-", " ").rpartition(" ")
+    top, stroke, bottom = part.partition("/")
+    return (float(whole) if whole else 0.0) + (float(top) / float(bottom) if stroke else float(part))
+
+
+def size_values(c: Column, diameters: dict[float, int], nominal: dict[float, int]) -> Column:
+    """struct<code, review>: the size code of a field's value, as 50x40 or 100L600.
+
+    Nominal sizes count as they are, without any the outer diameters by `diameters` (the nearest within 0.5), without these
+    inches by `nominal` (else 25 to an inch), without these bare numbers. Distinct values are joined by x; a length goes behind,
+    of a range the larger. review: more than one kind of size, or a diameter that the table doesn't know. '' and true
+    where there is none; '' and false for null.
+    """
+
+    def code(value: str) -> dict:
+        r = read(value, {}, guard=False)
+        kinds = {k: r.of(k) for k in SIZE}
+        review = sum(bool(kinds[k]) for k in ("DN", "OD", "INCH")) > 1
+        values = [float(v) for v in kinds["DN"]]
+        if not values and kinds["OD"]:
+            for v in map(float, kinds["OD"]):
+                near = min(diameters, key=lambda d: abs(d - v), default=None)
+                fits = near is not None and abs(near - v) <= 0.5
+                review |= not fits
+                values.append(float(diameters[near]) if fits else v)
+        if not values and kinds["INCH"]:
+            values = [float(nominal.get(i, round(i * 25))) for i in map(_inches, kinds["INCH"])]
+        if not values and not kinds["LENGTH"]:
+            values = [float(q.value) for chain in r.chains for q in chain if not q.kind and not q.unit and q.value not in SPECIAL_WALLS and "/" not in q.value]
+        length = max((float(v) for v in kinds["LENGTH"]), default=None)
+        text = "x".join(dict.fromkeys(map(plain_number, values))) + (f"L{plain_number(length)}" if length is not None else "")
+        return {"code": text, "review": bool(value.strip()) and (review or not text)}
+
+    return per_distinct(code, "struct<code: string, review: boolean>")(F.coalesce(c, F.lit("")))

@@ -52,26 +52,26 @@ def best_path(n: int, steps: Callable[[int], Iterable[tuple[int, tuple]]]) -> li
     return places
 
 
+def glued_parts(text: str, shapes: tuple[re.Pattern, ...] | None = None) -> list[str]:
+    """The tokens that a text is glued of; see glued_tokens()."""
+    shapes, value = shapes or _SHAPES, text.upper()
+    places = best_path(len(value), lambda at: [(m.end(), (0,)) for m in (s.match(value, at) for s in shapes) if m])
+    if not places or len(places) < 3:
+        return [text]
+    return [value[a:b] for a, b in zip(places, places[1:])]
+
+
+_SHAPES = tuple(re.compile(f) for f in WALLS)
+
+
 def glued_tokens(text: Column, forms: tuple[str, ...] = WALLS) -> Column:
     """array<string>: the tokens that a text is glued of, upper-cased, or the text itself if it isn't two or more of them.
 
     At each place the longest token comes first from which the rest can be cut too. Forms are expressions of one token;
     a form's greedy match is its only one. Null stays null, an empty text is itself.
     """
-    shapes = [re.compile(f) for f in forms]
-
-    def cut(raw: str) -> list[str]:
-        value = raw.upper()
-
-        def steps(at: int) -> list[tuple[int, tuple]]:
-            return [(m.end(), (0,)) for m in (s.match(value, at) for s in shapes) if m]
-
-        places = best_path(len(value), steps)
-        if not places or len(places) < 3:
-            return [raw]
-        return [value[a:b] for a, b in zip(places, places[1:])]
-
-    return per_distinct(cut, "array<string>")(text)
+    shapes = tuple(re.compile(f) for f in forms)
+    return per_distinct(lambda t: glued_parts(t, shapes), "array<string>")(text)
 
 
 def trie(words: Iterable[str]) -> dict:

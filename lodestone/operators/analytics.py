@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ordering import running_sum
+
 
 def clean(c: Column) -> Column:
     """Trimmed text; null, blank and 'nan' become ''."""
@@ -66,8 +68,8 @@ def value_shares(rows: DataFrame, column: str) -> DataFrame:
     total = rows.agg(F.count("*").alias("total"))
     counts = rows.where(clean(F.col(column)) != "").groupBy(clean(F.col(column)).alias("value")).agg(F.count("*").alias("n"))
     shares = counts.join(F.broadcast(total)).withColumn("share", ratio(F.col("n"), F.col("total"), 6))
-    running = W.orderBy(F.desc("n"), "value").rowsBetween(W.unboundedPreceding, 0)
-    return shares.select("value", "n", "share", F.round(F.sum("share").over(running), 6).alias("running"))
+    summed = running_sum(shares, [F.desc("n"), F.col("value")], "share", "running")
+    return summed.select("value", "n", "share", F.round("running", 6).alias("running"))
 
 
 def distribution(rows: DataFrame, group: str, label: str) -> DataFrame:
@@ -114,9 +116,9 @@ def contingency(rows: DataFrame, raw: str, target: str, strong: float = 0.95, we
 def class_weights(rows: DataFrame, label: str, beta: float = 0.999) -> DataFrame:
     """Inverse, square-root and effective-number weights, each scaled to a mean of 1 over the labels."""
     counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    every = W.partitionBy()
     raw = {"inverse": 1 / F.col("n"), "root": 1 / F.sqrt("n"), "effective": (1 - beta) / (1 - F.pow(F.lit(beta), F.col("n")))}
-    return counts.select(label, "n", *(F.round(w / F.avg(w).over(every), 6).alias(k) for k, w in raw.items()))
+    means = counts.agg(*(F.avg(w).alias(f"_{k}") for k, w in raw.items()))  # one row
+    return counts.join(F.broadcast(means)).select(label, "n", *(F.round(w / F.col(f"_{k}"), 6).alias(k) for k, w in raw.items()))
 
 
 def group_examples(rows: DataFrame, group: str, text: str, order: str, most: int = 3) -> DataFrame:
@@ -124,7 +126,8 @@ def group_examples(rows: DataFrame, group: str, text: str, order: str, most: int
     first = rows.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("r") <= most)
     examples = first.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", text))), lambda x: x[text]), " | ").alias("examples"))
     counts = rows.groupBy(group).agg(F.count("*").alias("n"))
-    return counts.join(examples, group).withColumn("share", ratio(F.col("n"), F.sum("n").over(W.partitionBy())))
+    total = counts.agg(F.sum("n").alias("_total"))  # one row
+    return counts.join(examples, group).join(F.broadcast(total)).withColumn("share", ratio(F.col("n"), F.col("_total"))).drop("_total")
 
 
 def grouping_summary(rows: DataFrame, columns: list[str]) -> DataFrame:

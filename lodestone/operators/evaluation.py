@@ -73,3 +73,45 @@ def outcome_report(compared: DataFrame, key: str) -> DataFrame:
     whole = compared.groupBy(key).agg(*count, F.count("*").alias("n"), F.every(F.col("outcome") == "correct").alias("perfect"))
     total = whole.agg(F.lit("all").alias("path"), *(F.sum(k).alias(k) for k in kinds), F.sum("n").alias("n"), ratio(F.count_if("perfect"), F.count("*"), 6).alias("share"))
     return paths.unionByName(total)
+
+
+def classification_report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """label, precision, recall, f1, support: per label, and `accuracy`, `macro avg` and `weighted avg`.
+
+    Labels are those of either column; null is the label ''. A share with nothing to divide by is 0. From counts by pair
+    of labels, so no label's rows come together.
+    """
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    cells = rows.groupBy(name(truth).alias("t"), name(predicted).alias("p")).agg(F.count("*").alias("n"))
+    each = cells.select(F.explode(F.array(F.struct(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")))).alias("c")).select("c.*")
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    labels = each.groupBy("label").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("hit").alias("hit"))
+    scored = labels.select("label", "support", "hit", share(F.col("hit"), F.col("said")).alias("precision"), share(F.col("hit"), F.col("support")).alias("recall"), share(2 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"))
+    total, kinds = F.sum("support"), ("precision", "recall", "f1")
+    weighted = {k: share(F.sum(F.col(k) * F.col("support")), total) for k in kinds}
+    sums = scored.agg(total.alias("support"), share(F.sum("hit"), total).alias("accuracy"), *(F.avg(k).alias(f"macro_{k}") for k in kinds), *(weighted[k].alias(f"weighted_{k}") for k in kinds)).where("support is not null")
+    lines = F.array(
+        F.struct(F.lit("accuracy").alias("label"), *(F.col("accuracy").alias(k) for k in kinds)),
+        *(F.struct(F.lit(f"{m} avg").alias("label"), *(F.col(f"{m}_{k}").alias(k) for k in kinds)) for m in ("macro", "weighted")),
+    )
+    whole = sums.select("support", F.explode(lines).alias("l")).select("l.*", "support")
+    rounded = [F.round(k, 6).alias(k) for k in kinds]
+    return scored.select("label", *rounded, "support").unionByName(whole.select("label", *rounded, "support"))
+
+
+def error_sample(rows: DataFrame, truth: str, predicted: str, key: str, most: int = 50) -> DataFrame:
+    """The first `most` rows by key whose prediction isn't the truth."""
+    return rows.where(~F.col(truth).eqNullSafe(F.col(predicted))).orderBy(key).limit(most)
+
+
+def field_scores(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """field, tp, fp, fn, accuracy: of each (expected, predicted) pair of columns; blank counts as nothing said.
+
+    A value that differs is both a false one and a missed one.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), text(e).alias("e"), text(p).alias("p")) for f, (e, p) in fields.items()))
+    each = rows.select(F.explode(pairs).alias("x")).select("x.*")
+    hit = F.col("e") == F.col("p")
+    count = each.groupBy("field").agg(F.count_if(hit & (F.col("e") != "")).alias("tp"), F.count_if(~hit & (F.col("p") != "")).alias("fp"), F.count_if(~hit & (F.col("e") != "")).alias("fn"), F.count_if(hit).alias("_same"), F.count("*").alias("_n"))
+    return count.select("field", "tp", "fp", "fn", ratio(F.col("_same"), F.col("_n"), 6).alias("accuracy"))

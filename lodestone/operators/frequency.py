@@ -21,10 +21,6 @@ class Rarity:
     material_share: float = 0.008
 
 
-def _counts(rows: DataFrame, project: str, code: str, name: str) -> DataFrame:
-    return rows.where(F.col(code).isNotNull() & (F.trim(F.col(code)) != "")).groupBy(project, code).agg(F.count("*").alias(name))
-
-
 def code_rarity(rows: DataFrame, project: str, type_code: str, material_code: str, at: Rarity = Rarity()) -> DataFrame:
     """Per project and pair of codes: n_rows, project_size, the counts and the two rare flags.
 
@@ -33,10 +29,12 @@ def code_rarity(rows: DataFrame, project: str, type_code: str, material_code: st
     """
     cells = rows.groupBy(project, type_code, material_code).agg(F.count("*").alias("n_rows"))
     blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
-    by_project = W.partitionBy(project)
-    cells = cells.withColumn("project_size", F.sum("n_rows").over(by_project))
-    for code, name in ((type_code, "type_count"), (material_code, "material_count")):
-        cells = cells.withColumn(name, F.when(~blank(code), F.sum("n_rows").over(W.partitionBy(project, code))))
+    joined, same = cells, lambda a, b, keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    sums = [([project], "project_size", cells), ([project, type_code], "type_count", cells.where(~blank(type_code))), ([project, material_code], "material_count", cells.where(~blank(material_code)))]
+    for keys, name, own in sums:
+        counts = own.groupBy(*keys).agg(F.sum("n_rows").alias(name))
+        joined = joined.alias("_l").join(counts.alias("_r"), same("_l", "_r", keys), "left").select("_l.*", f"_r.{name}")
+    cells = joined
     top = (
         cells.where(F.col("type_count").isNotNull())
         .groupBy(project, type_code)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
+
 
 def digest(*columns: str, seed: int = 0) -> Column:
     """md5 of the columns as text and a seed; null counts as ''."""
@@ -28,6 +30,24 @@ def numbered(rows: DataFrame, groups: list[str], by: str, name: str, ties: list[
     return joined.select("_l.*", "_r._before").withColumn(name, F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")
 
 
+def ranged(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with _range: ranges of about as many rows each in this order, written once, so that all who read see the same."""
+    return checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
+def running_sum(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over this row and those before it. The order must tell all rows apart.
+
+    Each range is summed by itself and follows the sums of the ranges before it.
+    """
+    dealt = ranged(rows, order)
+    # one row for each range, no more than spark.sql.shuffle.partitions
+    before = F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", before.alias("_before"))
+    own = F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(sums), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")
+
+
 def without_equal_neighbours(rows: DataFrame, category: str, key: str, seed: int = 0) -> DataFrame:
     """rows with place, 1 to n: no two neighbours of one category unless a category has more than half of all rows.
 

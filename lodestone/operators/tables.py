@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.scratch import checkpointed
+from .ordering import numbered, running_sum
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list, most: int = 1) -> DataFrame:
@@ -77,8 +77,10 @@ def hash_split(rows: DataFrame, key: str, shares: dict[str, float], seed: int =
     return rows.withColumn("part", out.otherwise(list(shares)[-1]))
 
 
-def rarity_bonus(value: str) -> Column:
-    return 1 / F.sqrt(F.count("*").over(W.partitionBy(value)))
+def rarity_scores(rows: DataFrame, value: str, name: str = "bonus") -> DataFrame:
+    """rows with one over the root of their value's count; null for a null value."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg((1 / F.sqrt(F.count("*"))).alias(name))
+    return rows.join(counts, value, "left")
 
 
 def replicate(rows: DataFrame, times: int) -> DataFrame:
@@ -93,21 +95,13 @@ def margin_score(scores: Column) -> Column:
 
 
 def queue_position(jobs: DataFrame, queued: Column, created: str, key: str) -> DataFrame:
-    """All queued jobs with their place in the queue, by (created, key).
-
-    Ranges of about as many jobs each are ranked apart, and a range's places follow those of the ranges before it. The
-    ranges are written once, so that both passes see the same.
-    """
-    ranges = jobs.where(queued).repartitionByRange(F.col(created), F.col(key)).withColumn("_range", F.spark_partition_id())
-    dealt = checkpointed(ranges)
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # one row for each range, no more than spark.sql.shuffle.partitions
-    offsets = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
-    place = F.row_number().over(W.partitionBy("_range").orderBy(created, key)) + F.col("_before")
-    return dealt.join(F.broadcast(offsets), "_range").withColumn("position", place).drop("_range", "_before")
+    """All queued jobs with their place in the queue, by (created, key): running sums of one a job."""
+    waiting = jobs.where(queued).withColumn("_one", F.lit(1).cast("long"))
+    return running_sum(waiting, [F.col(created), F.col(key)], "_one", "position").drop("_one")
 
 
 def round_robin(rows: DataFrame, category: str, key: str) -> DataFrame:
-    """A sort place that spreads each category evenly, so that equal neighbours are rare."""
-    own = W.partitionBy(category).orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.withColumn("place", (F.row_number().over(own) - 0.5) / F.count("*").over(W.partitionBy(category)))
+    """A sort place that spreads each category evenly, so that equal neighbours are rare; see without_equal_neighbours() for none."""
+    sizes = rows.groupBy(category).agg(F.count("*").alias("_size"))
+    placed = numbered(rows.withColumn("_by", F.md5(F.col(key).cast("string"))), [category], "_by", "_nth", [key])
+    return placed.join(sizes, category).withColumn("place", (F.col("_nth") - 0.5) / F.col("_size")).drop("_by", "_nth", "_size")

@@ -64,7 +64,7 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(O.rarity_bonus("p_brand"), 6).alias("bonus"))
+    return O.rarity_scores(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand").select("p_partkey", F.round("bonus", 6).alias("bonus"))
 
 
 def replicated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.quantities import chains, evidence, extracted, read
+from lodestone.functions.quantities import chains, evidence, extracted, read, size_values, wall_parts, wall_values
+from lodestone.functions.standards import plain_standard, standard_parts
+from lodestone.operators.detectors import glue
+from lodestone.operators.evaluation import classification_report, field_scores
 from lodestone.operators.second_pass import second_pass
 
 DIAMETERS = {"57": 50, "60.3": 50, "88.9": 80, "114.3": 100}
@@ -122,3 +125,33 @@ def test_second_pass_of_nulls(spark):
     got = {r.i: r for r in second_pass(rows, "t", F.col("easy")).collect()}
     assert got[1].size_verdict.reason == "描述为空" and got[1].size_verdict.passed is False and got[1].thickness_verdict is None and got[1].pressure_verdict is None
     assert [got[i].size_verdict for i in (2, 3, 4)] == [None] * 3
+
+
+WALL_FORMS = {"SCH40S": "S40S", "S-10S x S-40S": "S10SXS40S", "THK=6.3mmX6.3mm": "6.3MM", "SCH10/10": "S10", "SCH10/20": "S10XS20", "SCH20SCH40": "S20XS40", "XXS": "XXS", "thk3X6": "3MMX6MM", "=4.0mm": "4MM", "SCHXXS": "XXS", "SCH40 L x SCH80 S": "S40XS80", "S6.3": "S6.3", "8.0MM": "8MM", "II-SCH40": "S40", "": ""}
+STANDARDS = {
+    "GB/T 12459-2017 II": "GB/T 12459 II", "HG/T20553(la)-2011": "HG/T20553(la)", "SP-97": "SP-97", "ASME B36.19M": "ASME B36.19", "ASMEB36.19M-2004": "ASMEB36.19", "HG/T 20592 SERIES II": "HG/T 20592 II",
+    "GB/T 9948 TYPEI": "GB/T 9948 I", "SH 3419 附录B": "SH 3419 B", "ASTM A312 Method A": "ASTM A312 A", "NB/T 47010-2010 II类": "NB/T 47010 II", "EN 10222-5": "EN 10222-5", "20592Ⅰ系列": "20592Ⅰ", "GB/T 8163 (Ia)": "GB/T 8163 Ia",
+    "GB 9711-99": "GB 9711", "SERIES": "", "HG20592 II类焊缝": "HG20592 II", "": "",
+}
+GROUPS = {"conn": ["MF", "FM", "M", "F", "SW", "SO", "RJ", "FLRJ", "MFM"], "manu": ["SAW", "SAWL", "SMLS", "EFW"]}
+GLUED = {"MFM20": ["MFM"], "SAWLX": ["SAWL"], "FLRJ20": ["FLRJ"], "2.5mm": [], "ASTM A350 LF2": [], "SMLSX pipe": ["SMLS"], "SW": [], "swt SWT": ["SW"], "M20 20F": ["M", "F"], "": []}
+
+
+def test_codes_of_written_forms(spark):
+    assert {v: "X".join(wall_parts(v)) for v in WALL_FORMS} == WALL_FORMS
+    assert {v: plain_standard(v) for v in STANDARDS} == STANDARDS
+    assert {v: [f["code"] for f in glue(v, GROUPS)] for v in GLUED} == GLUED
+    rows = spark.createDataFrame([("DN50 OD57",), ("L=1-2m DN50",), (None,), ("x",), ('1-1/2"',)], "t string")
+    got = [tuple(r.s) for r in rows.select(size_values(F.col("t"), {57.0: 50}, {1.5: 40}).alias("s")).collect()]
+    assert got == [("50", True), ("50L2000", False), ("", False), ("", True), ("40", False)]
+    assert [r[0] for r in rows.select(wall_values(F.col("t"))).limit(3).collect()][2] == ""
+    parts = spark.createDataFrame([("GB/T 12459-2017 II",), ("SH/T3408 Ⅱ",), (None,), ("EN 10222-5",)], "t string").select(standard_parts(F.col("t")).alias("p")).collect()
+    assert [tuple(r.p) for r in parts] == [("GBT", "12459", "II"), ("SHT", "3408", "II"), ("", "", ""), ("EN", "10222-5", "")]
+
+
+def test_reports_of_nothing(spark):
+    rows = spark.createDataFrame([("a", "b"), (None, "b"), ("a", "a")], "t string, p string")
+    got = {r.label: (r.precision, r.recall, r.support) for r in classification_report(rows, "t", "p").collect()}
+    assert got["a"] == (1.0, 0.5, 2) and got["b"] == (0.0, 0.0, 0) and got[""] == (0.0, 0.0, 1) and got["accuracy"][1] == round(1 / 3, 6)
+    assert classification_report(rows.limit(0), "t", "p").collect() == []
+    assert [tuple(r) for r in field_scores(rows, {"f": ("t", "p")}).collect()] == [("f", 1, 2, 1, round(1 / 3, 6))]
