@@ -242,3 +242,12 @@ def test_divergence_of_no_rows_and_long_texts(spark, monkeypatch):
 
 def test_divergence_query(spark):
     assert difference(queries.op13_divergence(spark, SF_DIR), connect(SF_DIR), queries.oracle_sql()["op13_divergence"]) == ""
+
+
+# --- scoring against its base
+
+
+def test_attention_beats_word_counts_on_held_out_texts(spark):
+    """On the held-out documents of sf0.01 the model's log probability a token is above that of word counts plus one."""
+    rows = queries.op8_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert rows[0] / rows[2] > rows[1] / rows[2]
