@@ -6,6 +6,7 @@ reaches, if one stands there. Parts of words don't count where a reader asks for
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -191,15 +192,20 @@ def material(t: Text, at: int) -> int | None:
 KINDS = ((standard, "<STD>"), (pressure, "<PRESSURE>"), (wall, "<THK>"), (size, "<SIZE>"), (material, "<MAT>"), (Text.number, "<N>"))
 
 
+_DIGIT, _BEGINS = re.compile(r"\d"), re.compile(r"\b|Φ")
+
+
 def template(text: str) -> str:
     plain = unicodedata.normalize("NFKC", text).upper()
     for reader, mark in KINDS:
-        t, out, at = Text(plain), [], 0
-        while at < t.end:
-            to = reader(t, at)
-            out.append(mark if to else t.text[at])
-            at = to or at + 1
-        plain = "".join(out)
+        t, out, last = Text(plain), [], 0
+        # a number begins at a digit, any other part at a word's edge or a diameter's sign
+        for m in _DIGIT.finditer(plain) if reader is Text.number else _BEGINS.finditer(plain):
+            at = m.start()
+            if last <= at < t.end and (to := reader(t, at)):
+                out += [plain[last:at], mark]
+                last = to
+        plain = "".join([*out, plain[last:]])
     return " ".join(plain.split()).strip(" ,;")
 
 
