@@ -68,6 +68,14 @@ CLASS_SIGNS, CLASS_UNIT, SIZE_SIGNS, WALL_WORDS = ("CLASS", "CL", "PN"), "LB", (
 _TIMES, _TAIL = "X×*", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.()/-"
 
 
+def _by_letter(words: list[str]) -> dict[str, list[str]]:
+    """Words by their first letter, so that a place is only held against those that may begin there."""
+    return {c: [w for w in words if w[0] == c] for c in {w[0] for w in words}}
+
+
+_ISSUERS, _MATERIALS = _by_letter(ISSUERS), _by_letter(MATERIALS)
+
+
 class Text:
     """A text in capitals and questions about what stands at a place; each answers with the place behind it or None."""
 
@@ -111,7 +119,7 @@ class Text:
 
 def standard(t: Text, at: int) -> int | None:
     """An issuer and what follows of letters, digits and joining signs."""
-    to = t.word(at, ISSUERS) if t.edge(at) else None
+    to = t.word(at, _ISSUERS.get(t.text[at], ())) if t.edge(at) else None
     if to is None:
         return None
     to = t.blanks(t.sign(t.blanks(to), "-/"))
@@ -181,7 +189,7 @@ def size(t: Text, at: int) -> int | None:
 def material(t: Text, at: int) -> int | None:
     if not t.edge(at):
         return None
-    ends = [at + len(m) for m in MATERIALS if t.text.startswith(m, at)]
+    ends = [at + len(m) for m in _MATERIALS.get(t.text[at], ()) if t.text.startswith(m, at)]
     ends += [e for n in NUMBERED if t.text.startswith(n, at) and (e := t.whole(at + len(n)))]
     if t.text.startswith(FIVE_DIGITS, at) and t.whole(at + 1) == at + 6:
         ends.append(at + 6)
@@ -202,7 +210,7 @@ def template(text: str) -> str:
         # a number begins at a digit, any other part at a word's edge or a diameter's sign
         for m in _DIGIT.finditer(plain) if reader is Text.number else _BEGINS.finditer(plain):
             at = m.start()
-            if last <= at < t.end and (to := reader(t, at)):
+            if last <= at < t.end and not plain[at].isspace() and (to := reader(t, at)):
                 out += [plain[last:at], mark]
                 last = to
         plain = "".join([*out, plain[last:]])
