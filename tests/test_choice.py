@@ -66,6 +66,20 @@ def test_coverage_of_a_group_beyond_one_part(spark):
     assert len(got) == 40 and len({r.k % 40 for r in got}) == 40 and len({r.k % 7 for r in got}) == 7
 
 
+def test_coverage_of_large_groups_equals_plain_greedy(spark):
+    """In rounds, as many parts can hold a value that one row covers: the choice is that of one pass over the group."""
+    rng = random.Random(5)
+    rows = [(g, 1000 * j + i, rng.choice("aaaaabcde"), rng.choice(["x", "y", "", None]), str(rng.randrange(30) ** 2 // 40)) for j, g in enumerate(["g", None, "small"]) for i in range(700 if g != "small" else 3)]
+    frame = spark.createDataFrame(rows, "g string, k int, a string, b string, c string")
+    gains, rare = {"a": 15.0, "b": 14.0, "c": 12.0}, {"a": 3.0, "b": 3.0, "c": 2.0}
+    got = {}
+    for r in S.coverage_sample(frame, "g", "k", gains, rare, 25, chunk=40).orderBy("nth").collect():
+        got.setdefault(r.g, []).append((r.k, round(r.score, 6)))
+    for g in ("g", None, "small"):
+        items = [(k, (a, b or None, c)) for gg, k, a, b, c in rows if gg == g]
+        assert got[g] == plain_greedy(items, list(gains.values()), list(rare.values()), 25)
+
+
 def test_deficits_of_empty_tables(spark):
     rows = spark.createDataFrame([(1, "s", "v"), (2, "s", ""), (3, None, None)], "k int, s string, v string")
     got = S.deficit_candidates(rows.limit(0), rows, "k", "s", {"v": 2.0}, None, 5).collect()
