@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as N
+from ..functions.arrow import gathered
 from ..functions.templates import template_signature
 from ..sources.tables import described, table
 
@@ -30,8 +31,9 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many descriptions share a template."""
-    return described(spark, sf_dir).groupBy(template_signature(F.col("description")).alias("template")).agg(F.count("*").alias("n"))
+    """How many descriptions share a template; equal descriptions are counted first and read once."""
+    texts = described(spark, sf_dir).groupBy("description").agg(F.count("*").alias("n"))
+    return gathered(texts, "description").groupBy(template_signature(F.col("description")).alias("template")).agg(F.sum("n").alias("n"))
 
 
 def _bare(key: Column) -> Column:
