@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantities import evidence_hits
+from ..functions.arrow import gathered
+from ..functions.quantities import field_hits
 from .binding import allocate
 
 #: What is said of a field.
@@ -68,7 +69,8 @@ def second_pass(rows: DataFrame, text: str, easy: Column | None = None) -> DataF
     out = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     for name in fields:
         out = out.withColumn(f"_{name}", F.when(looked, F.coalesce(F.col(name).cast(kind), F.array().cast(kind))).otherwise(F.array().cast(kind)))
-        out = out.withColumn(f"_{name}_hits", evidence_hits(F.col("_text"), F.col(f"_{name}")))
+    out = gathered(out, "_text").withColumn("_hits", field_hits(F.col("_text"), {name: F.col(f"_{name}") for name in fields}))
+    out = out.withColumns({f"_{name}_hits": F.col(f"_hits.{name}") for name in fields}).drop("_hits")
     out = out.withColumn("_used", F.array().cast(_SPANS))
     for name in fields:
         out = _judged(out, name)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import quantities
 from lodestone.functions.quantities import chains, evidence, extracted, read, size_values, wall_parts, wall_values
 from lodestone.functions.standards import plain_standard, standard_parts
 from lodestone.operators.detectors import glue
@@ -155,3 +156,10 @@ def test_reports_of_nothing(spark):
     assert got["a"] == (1.0, 0.5, 2) and got["b"] == (0.0, 0.0, 0) and got[""] == (0.0, 0.0, 1) and got["accuracy"][1] == round(1 / 3, 6)
     assert classification_report(rows.limit(0), "t", "p").collect() == []
     assert [tuple(r) for r in field_scores(rows, {"f": ("t", "p")}).collect()] == [("f", 1, 2, 1, round(1 / 3, 6))]
+
+
+def test_a_text_is_read_once_for_all_fields():
+    text = "large ring DN50x25 SCH40 CL150"
+    quantities._said.cache_clear()
+    found = [evidence(text, [{"type": k, "value": v}]) for k, v in (("DN", "25"), ("SCHEDULE", "40"), ("CLASS", "150"), ("MM", "7"))]
+    assert [[h["rank"] for h in hits] for hits in found] == [[0], [0], [0], []] and quantities._said.cache_info().misses == 1
