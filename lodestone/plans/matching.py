@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrow import gathered
 from ..functions.segments import glued_tokens, segmented
 from ..operators import aliases as A
 from ..operators import binding as B
@@ -29,7 +30,7 @@ def _glued(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glued_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walls that a glued text consists of."""
-    return _glued(spark, sf_dir).select("p_partkey", F.array_join(glued_tokens(F.col("text")), " ").alias("walls"))
+    return gathered(_glued(spark, sf_dir), "text").select("p_partkey", F.array_join(glued_tokens(F.col("text")), " ").alias("walls"))
 
 
 #: Materials by layer: (layer, code, alias, place in the dictionary).
