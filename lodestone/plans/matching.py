@@ -75,7 +75,8 @@ SPANS = [("NUM", "[0-9]+(?:[.,][0-9]+)*"), ("LABEL", "[A-Za-z]+:")]
 
 def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the dictionary's words and fixed spans in conversations, each text cut so that most of it is known."""
-    t = table(spark, sf_dir, "conversations").select(F.explode(segmented(F.lower("text"), SPANS, WORDS)).alias("s"))
+    texts = gathered(table(spark, sf_dir, "conversations").select(F.lower("text").alias("text")), "text")
+    t = texts.select(F.explode(segmented(F.col("text"), SPANS, WORDS)).alias("s"))
     return t.where("s.tag <> 'O'").groupBy(F.col("s.tag").alias("tag"), F.col("s.word").alias("word")).agg(F.count("*").alias("n"))
 
 
