@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import gathered
 from ..functions.quantities import extracted
 from ..operators.second_pass import second_pass, verdict_summary
 from ..sources.tables import table
@@ -45,7 +46,7 @@ def specified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unified_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each description says, field by field."""
-    rows = specified(spark, sf_dir).withColumn("r", extracted(F.col("text"), DIAMETERS))
+    rows = gathered(specified(spark, sf_dir).select("p_partkey", "text"), "text").withColumn("r", extracted(F.col("text"), DIAMETERS))
     joined = lambda c: F.array_join(f"r.{c}", " ").alias(c)
     return rows.select("p_partkey", *map(joined, ("dn", "od", "inch", "length", "mm", "schedule", "pressure", "cleared")))
 

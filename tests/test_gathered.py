@@ -41,7 +41,7 @@ def test_few_results_are_held_as_python_objects():
     assert got.field("n").to_pylist() == list(range(5000)) and most[0] <= 2 * arrow.SLICE + 2
 
 
-@pytest.mark.parametrize("name", ["template_histogram", "second_pass_report", "glued_walls", "dictionary_words"])
+@pytest.mark.parametrize("name", ["template_histogram", "second_pass_report", "glued_walls", "dictionary_words", "unified_extract"])
 def test_texts_go_to_all_tasks(spark, name):
     frame = catalogue.queries()[name](spark, SF_DIR)
     assert "rangepartitioning(" in frame._jdf.queryExecution().toString()
