@@ -64,7 +64,8 @@ def build_index(rows: DataFrame, name: str, code: str, vector: str, clusters: in
     is then dealt to its nearest centre. Vectors of another length than the first sampled row's take no part.
     """
     fine = rows.select(F.col(name).cast("string").alias("name"), F.col(code).cast("string").alias("code"), unit_vector(F.col(vector)).alias("unit")).where("unit is not null and name is not null")
-    drawn = fine.orderBy(F.md5(F.concat_ws("|", "name", F.col("unit").cast("string"))), "name").limit(sample).toPandas()
+    fine = checkpointed(fine.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # a file of one split goes to all tasks
+    drawn = fine.orderBy(F.xxhash64("name", "unit"), "name").limit(sample).toPandas()
     if not len(drawn):
         return None
     d = len(drawn["unit"][0])
@@ -81,7 +82,7 @@ def build_index(rows: DataFrame, name: str, code: str, vector: str, clusters: in
                 batch["ring"] = (far.min(axis=1) / width).astype(np.int32)
                 yield batch
 
-    placed = fine.where(F.size("unit") == d).mapInPandas(dealt, "name string, code string, unit array<double>, cluster int, ring int")
+    placed = checkpointed(fine.where(F.size("unit") == d).mapInPandas(dealt, "name string, code string, unit array<double>, cluster int, ring int"))
     counts = placed.groupBy("cluster", "ring").agg(F.count("*").alias("n")).orderBy("cluster", "ring").toPandas()
     rings = np.stack([counts["cluster"], counts["ring"], -(-counts["n"] // block), counts["n"]], axis=1).astype(np.int64)
     salts = rows.sparkSession.createDataFrame([tuple(map(int, r[:3])) for r in rings], "cluster int, ring int, salts int")
@@ -92,14 +93,19 @@ def build_index(rows: DataFrame, name: str, code: str, vector: str, clusters: in
 
 def _best(scores: np.ndarray, names: np.ndarray, top: int) -> list[int]:
     """Places of the best row of each of the `top` best names: by score, then by name."""
-    out, seen = [], set()
-    for i in np.lexsort((names, -scores)):
-        if names[i] not in seen:
-            seen.add(names[i])
-            out.append(int(i))
-            if len(out) == top:
-                break
-    return out
+    most = 4 * top
+    while True:
+        some = np.arange(len(scores)) if most >= len(scores) else np.flatnonzero(scores >= np.partition(scores, -most)[-most])  # with all that tie with the last
+        out, seen = [], set()
+        for i in some[np.lexsort((names[some], -scores[some]))]:
+            if names[i] not in seen:
+                seen.add(names[i])
+                out.append(int(i))
+                if len(out) == top:
+                    return out
+        if len(some) == len(scores):
+            return out
+        most *= 8
 
 
 def _apart(score: np.ndarray) -> np.ndarray:

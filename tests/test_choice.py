@@ -112,3 +112,15 @@ def test_nearest_names_are_exact(spark, block, width):
         assert got[q] == [(n, round(s, 8)) for n, s in want]
     assert set(got) == set(range(12))
     assert V.nearest_names(V.build_index(rows.limit(0), "name", "code", "v"), asked, "q", "v").collect() == []
+
+
+def test_only_the_best_scores_of_a_block_are_sorted(monkeypatch):
+    rng, sort, sorted_ = np.random.default_rng(2), np.lexsort, []
+    monkeypatch.setattr(V.np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or sort(keys))
+    names = np.array([f"n{i // 3}" for i in range(3000)], object)
+    scores = np.round(rng.random(3000), 3)
+    scores[:60] = 2.0  # one name's and its neighbours' rows tie at the top
+    want = sorted({n: s for n, s in sorted(zip(names, scores), key=lambda e: e[1])}.items(), key=lambda e: (-e[1], e[0]))[:9]
+    assert [(names[i], scores[i]) for i in V._best(scores, names, 9)] == want and max(sorted_) < 1000
+    few = np.array(["one"] * 500 + ["two"], object)
+    assert [few[i] for i in V._best(np.concatenate([np.ones(500), [0.0]]), few, 3)] == ["one", "two"]
