@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -411,10 +412,10 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table(row, schema=table.schema)
 
 
-def refined(model: Attention, docs: DataFrame, path: str, share: float, batch: int = 64, rate: float = 0.002) -> Attention:
+def refined(model: Attention, docs: DataFrame, path: str, share: float, batch: int = 64, rate: float = 0.002, since: float = 0.0) -> Attention:
     """The model after gradient steps in every task on its part of a fixed share of docs, averaged by their windows.
 
-    What is learned from grows with docs. Parameters are added in two levels of groups, so no task and not the
+    The rows are those whose hash, from 0 to 1, is above `since` and up to `share`. What is learned from grows with docs. Parameters are added in two levels of groups, so no task and not the
     driver holds those of all tasks.
     """
 
@@ -450,7 +451,8 @@ def refined(model: Attention, docs: DataFrame, path: str, share: float, batch: i
             out = [(b, side, float(seen), flat[b * BLOCK : (b + 1) * BLOCK].tobytes()) for b in range(-(-len(flat) // BLOCK))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("block", pa.int32()), ("side", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())]))
 
-    rows = docs.where(unit_hash(F.col("doc_id"), F.lit(9)) <= share).where("text is not null").select("text").mapInArrow(work, _BLOCKS)
+    place = unit_hash(F.col("doc_id"), F.lit(9))
+    rows = docs.where((place > since) & (place <= share)).where("text is not null").select("text").mapInArrow(work, _BLOCKS)
     found = rows.groupBy("block", "side").applyInArrow(_added, _BLOCKS).groupBy("block").applyInArrow(_added, _BLOCKS).orderBy("block").collect()
     if not found:
         return model
@@ -461,18 +463,34 @@ def refined(model: Attention, docs: DataFrame, path: str, share: float, batch: i
     return replace(model, p=p)
 
 
-def train(docs: DataFrame, path: str, share: float = 1 / 64, sample: int = 1500, excerpt: int = 4000, size: int = 32, hidden: int = 64, context: int = 16, stride: int = 32, **how) -> Attention:
+#: Letters that a model learns from at least: a smaller table is passed over again, but no more than MOST_PASSES times.
+LEAST_LETTERS, MOST_PASSES = 8_000_000, 8
+#: Where a pass over a table of LEAST_LETTERS and more ends a round, after which the tasks' parameters are averaged.
+ROUNDS = (0.0, 1 / 16, 1 / 4, 1.0)
+
+
+def train(docs: DataFrame, path: str, share: float = 1.0, sample: int = 1500, excerpt: int = 4000, size: int = 32, hidden: int = 64, context: int = 16, stride: int = 32, steps: int = 0, rate: float = 0.01, **how) -> Attention:
     """A model of docs (doc_id, text).
 
-    Counts come from all texts. Attention starts from excerpts of `sample` rows, fitted in the driver, and is then
-    refined by all tasks on a `share` of the rows, which grows with docs.
+    Counts come from all texts, and all tasks learn the attention from all rows (of a `share` of them, if that is
+    asked), in rounds with falling rates. steps: begin with so many in the driver, on excerpts of `sample` rows.
     """
-    at = F.floor(unit_hash(F.col("doc_id"), F.lit(3)) * F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
-    rows = drawn(docs.where("text is not null").select("doc_id", F.substring("text", at, F.lit(excerpt)).alias("text")), "doc_id", sample).select("text").collect()
-    vocabulary, namer = Vocabulary(path), _namer()
-    ids = [part for own, sizes in _sequences(vocabulary, [np.frombuffer(r["text"].encode(), np.uint8) for r in rows], namer) for part in np.split(own, np.cumsum(sizes)[:-1])]
-    model = Attention.start(pair_counts(docs, path), buckets_of(vocabulary), size, hidden, context, stride, 1)
-    return refined(fit(model, ids, **how), docs, path, share)
+    model = Attention.start(pair_counts(docs, path), buckets_of(Vocabulary(path)), size, hidden, context, stride, 1)
+    if steps:
+        at = F.floor(unit_hash(F.col("doc_id"), F.lit(3)) * F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
+        rows = drawn(docs.where("text is not null").select("doc_id", F.substring("text", at, F.lit(excerpt)).alias("text")), "doc_id", sample).select("text").collect()
+        ids = [part for own, sizes in _sequences(Vocabulary(path), [np.frombuffer(r["text"].encode(), np.uint8) for r in rows], _namer()) for part in np.split(own, np.cumsum(sizes)[:-1])]
+        model = fit(model, ids, steps=steps, rate=rate, **how)
+    letters = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) * share
+    if not letters:
+        return model
+    passes = min(MOST_PASSES, max(1, math.ceil(LEAST_LETTERS / letters)))
+    ends = ROUNDS if letters >= LEAST_LETTERS else (0.0, 1.0)
+    rate = rate if not steps else 0.2 * rate  # what the driver has begun goes on with small steps
+    for k in range(passes):
+        for since, until in zip(ends, ends[1:]):
+            model = refined(model, docs, path, until * share, rate=rate * (1 - 0.9 * (k + since) / passes), since=since * share)
+    return model
 
 
 _SENT = "chunk long, k long, name long, taught long, data binary"

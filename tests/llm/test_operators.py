@@ -499,3 +499,21 @@ def test_jaccard_regions_in_blocks(spark, monkeypatch, block):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = group_near(frame, near).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+
+
+def test_the_query_s_model_learns_from_every_row(spark, monkeypatch):
+    """No row is drawn, and rounds of a pass deal each row to one of them."""
+    monkeypatch.setattr(scoring, "drawn", None)
+    monkeypatch.setattr(scoring, "pair_counts", lambda docs, path: np.ones((scoring.BUCKETS, scoring.Vocabulary(path).size)))
+    monkeypatch.setattr(scoring, "LEAST_LETTERS", 1000)
+    seen = []
+
+    def refined(model, docs, path, share, rate, since):
+        place = scoring.unit_hash(F.col("doc_id"), F.lit(9))
+        seen.extend(r.doc_id for r in docs.where((place > since) & (place <= share)).collect())
+        return model
+
+    monkeypatch.setattr(scoring, "refined", refined)
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    scoring.train(rows, tokenizer_path("byte_bpe_50k.json"))
+    assert sorted(seen) == list(range(500))
