@@ -6,6 +6,7 @@ import json
 import math
 import pickle
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -17,13 +18,13 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fmix, partitions, saved, utf8_slices
-from .language import Adam, _softmax
+from .common import discard, fmix, partitions, saved, utf8_slices
+from .language import Adam
 from .sampling import drawn, unit_hash
 from .suffixes import Names, _chunks
 
-#: Longest subword in bytes: greedy segmentation looks up windows of 1 to LONGEST bytes, each in one number.
-LONGEST, SLOTS = 4, 17
+#: Longest subword in bytes of a public vocabulary and of a learned one: greedy segmentation looks up windows of so many, each in one number.
+LONGEST, LEARNED, SLOTS = 4, 7, 17
 BLANK, LOWER = 32, np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -37,26 +38,17 @@ def words_of(data: np.ndarray, namer: Names) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Vocabulary:
-    """Subword ids of words, by greedy longest match in the byte-level vocabulary of a public tokenizer.
+    """Subword ids of words, by greedy longest match in the byte-level vocabulary of a public tokenizer or in entries of one's own.
 
-    Entries of at most LONGEST bytes count. A word begins with a blank, as in running text. Ids here
-    are dense: 0 is the end of a text, then the entries in the order of the tokenizer's ids.
+    Of a tokenizer's entries those of at most LONGEST bytes count. A word begins with a blank, as in running text. Ids
+    here are dense: 0 is the end of a text, then the entries in the order of the tokenizer's ids or in their own.
     """
 
-    def __init__(self, path: str) -> None:
-        with open(path) as f:
-            entries = json.load(f)["model"]["vocab"]
-        # byte-level vocabularies write each byte as a printable character: its own, or the next free from 256 on
-        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-        known = []
-        for text, _ in sorted(entries.items(), key=lambda e: e[1]):
-            raw = bytes(byte.get(c, 0) for c in text) if all(c in byte for c in text) else b""
-            if 1 <= len(raw) <= LONGEST and raw == raw.lower():
-                known.append(raw)
+    def __init__(self, source: str | tuple[bytes, ...]) -> None:
+        known = self.public(source) if isinstance(source, str) else list(source)
         missing = sorted({bytes([b]) for b in range(256)} - set(known))
         self.entries = known + missing  # every byte is an entry, so every word has a segmentation
-        self.size = 1 + len(self.entries)
+        self.size, self.most = 1 + len(self.entries), max(map(len, self.entries))
         self.longest = np.zeros((2, 1 << SLOTS), np.int64), np.zeros((2, 1 << SLOTS), np.int32)
         left = [(int.from_bytes(e, "little") | len(e) << 56, i + 1) for i, e in enumerate(self.entries)]
         for side, (keys, values) in enumerate(zip(*self.longest, strict=True)):
@@ -68,8 +60,23 @@ class Vocabulary:
                 else:
                     keys[at], values[at] = key, value
             left = rest
-        if left:
-            raise ValueError("an entry has no slot")
+        self.probes = [[side for side in (0, 1) if np.any(self.longest[0][side] >> 56 == n)] for n in range(self.most + 1)]
+        if any(isinstance(source, str) or key >> 56 == 1 for key, _ in left):
+            raise ValueError("an entry has no slot")  # of learned ones, one without is not found and its parts are
+
+    @staticmethod
+    def public(path: str) -> list[bytes]:
+        with open(path) as f:
+            entries = json.load(f)["model"]["vocab"]
+        # byte-level vocabularies write each byte as a printable character: its own, or the next free from 256 on
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+        known = []
+        for text, _ in sorted(entries.items(), key=lambda e: e[1]):
+            raw = bytes(byte.get(c, 0) for c in text) if all(c in byte for c in text) else b""
+            if 1 <= len(raw) <= LONGEST and raw == raw.lower():
+                known.append(raw)
+        return known
 
     def segment(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, how many each has); word i is data[begin[i]:stop[i]]."""
@@ -77,17 +84,18 @@ class Vocabulary:
         end = np.cumsum(sizes)
         first = end - sizes
         total = int(end[-1]) if len(end) else 0
-        raw = np.zeros(total + LONGEST, np.int64)
+        raw = np.zeros(total + self.most, np.int64)
         raw[:total] = data.take(np.repeat(begin - 1 - first, sizes) + np.arange(total), mode="clip")
         raw[first] = BLANK
         out, at = np.full(total, -1, np.int32), first
         while len(at):
             found, step, room = np.zeros(len(at), np.int32), np.ones(len(at), np.int64), end - at
             window = np.zeros(len(at), np.int64)
-            for n in range(1, LONGEST + 1):
+            for n in range(1, self.most + 1):
                 window |= raw[at + n - 1] << (8 * (n - 1))
                 key = window | n << 56
-                for side, (keys, values) in enumerate(zip(*self.longest, strict=True)):
+                for side in self.probes[n]:
+                    keys, values = (t[side] for t in self.longest)
                     slot = _slot(key, side)
                     hit = np.flatnonzero((keys.take(slot) == key) & (room >= n))
                     found[hit], step[hit] = values.take(slot[hit]), n
@@ -117,8 +125,9 @@ def expand(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np
 #: Queries and keys are held so that their products stay below this: exponentials need no maximum taken off first.
 TOP = 60
 #: The most frequent subwords, each a class of its own; classes of the others, each GROWTH times as large as the one before.
-ALONE, CLASSES, GROWTH = 32, 24, 1.22
-BUCKETS = 320
+ALONE, CLASSES, GROWTH = 32, 16, 1.1
+#: Buckets of what stands before a subword; the first OWN entries have their own.
+BUCKETS, OWN = 512, 320
 
 
 def _log_sums(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -132,13 +141,31 @@ def _log_sums(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
+def _errors(x: np.ndarray, hit: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """(loss of softmaxes over the rows of x with these weights, its slopes at x); rows that run over take their maximum off first."""
+    at = np.arange(len(x))
+    value = x[at, hit]
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+    total = e @ np.ones(x.shape[1], x.dtype)
+    odd = np.flatnonzero(~np.isfinite(total) | (total < 1e-30))
+    if len(odd):
+        top = x[odd].max(axis=1)
+        e[odd] = np.exp(x[odd] - top[:, None])
+        total[odd], value[odd] = e[odd].sum(axis=1), value[odd] - top
+    loss = float(((np.log(total) - value) * w).sum())
+    e *= (w / total)[:, None]
+    e[at, hit] -= w
+    return loss, e
+
+
 @dataclass
 class Attention:
     """One layer: embeddings, a causal self-attention head with a learned weight for each distance, a hidden layer.
 
     The next subword is predicted by a softmax over the ALONE most frequent ones and classes of the others, then by
     one over the members of its class; attention feeds both. Both start from what all training texts count after
-    the last two bytes (the bucket). Of `context` + `stride` positions a window predicts the last `stride`.
+    the symbol before (its bucket). Of `context` + `stride` positions a window predicts the last `stride`.
     """
 
     after: np.ndarray  # bucket, class: log of each class's share of the counts
@@ -149,6 +176,7 @@ class Attention:
     p: dict[str, np.ndarray]
     context: int
     stride: int
+    source: str | tuple[bytes, ...] = ""  # of the subwords, where train() has learned them
 
     NAMES = ("embed", "query", "key", "value", "near", "direct", "hidden", "shift", "out", "prior", "member")
 
@@ -182,6 +210,11 @@ class Attention:
         }
         return cls(after, inside, bucket_of, rank, bounds, p, context, stride)
 
+    @property
+    def class_of(self) -> np.ndarray:
+        """The class of each rank."""
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
     def tables(self) -> dict[str, np.ndarray]:
         """What each symbol gives as query, as key, as value (with a one) and directly to the hidden layer."""
         p, one = self.p, np.ones((len(self.p["embed"]), 1), np.float32)
@@ -203,7 +236,7 @@ class Attention:
         h += o @ self.p["hidden"]
         np.maximum(h, 0, out=h)
         if keep is not None:
-            keep.update(q=q, k=k, v=v[:, :, :-1], a=a * scale, o=o, distance=distance)
+            keep.update(q=q, k=k, v=v, a=a, scale=scale, o=o, distance=distance)
         return h
 
     def classes(self, h: np.ndarray, bucket: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
@@ -229,36 +262,27 @@ class Attention:
         t = self.tables()
         h3 = self.hidden(x, t, m)
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        h, bucket, w = flat(h3), self.bucket_of[x[:, -s:]].ravel(), (counted / max(1, counted.sum())).ravel().astype(np.float32)
-        w_of = np.flatnonzero(w > 0)
-        h, bucket, w, rank = h[w_of], bucket[w_of], w[w_of], self.rank[target.ravel()[w_of]]
-        class_ = np.searchsorted(self.bounds, rank, side="right") - 1
-        e = _softmax(self.classes(h, bucket, t), 1)
-        at = np.arange(len(h))
-        loss = -float((np.log(e[at, class_] + 1e-30) * w).sum())
-        e[at, class_] -= 1
-        e *= w[:, None]
+        h, bucket, w = flat(h3), self.bucket_of[x[:, -s:]].ravel(), (counted / max(1, counted.sum())).ravel().astype(h3.dtype)
+        rank = self.rank[target.ravel()]  # what doesn't count has the weight 0
+        class_ = self.class_of[rank]
+        loss, e = _errors(self.classes(h, bucket, t), class_, w)
         dh = e @ p["out"].T
         g = {"out": h.T @ e, "prior": e.sum(axis=0), "member": np.zeros_like(p["member"])}
         for of, own, out in self.members(h, bucket, rank):
-            out = _softmax(out, 1)
-            k, hit = np.arange(len(own)), rank[own] - of.start
-            loss -= float((np.log(out[k, hit] + 1e-30) * w[own]).sum())
-            out[k, hit] -= 1
-            out *= w[own, None]
-            g["member"][:, of] = h[own].T @ out
-            dh[own] += out @ p["member"][:, of].T
+            more, e = _errors(out, rank[own] - of.start, w[own])
+            loss += more
+            g["member"][:, of] = h[own].T @ e
+            dh[own] += e @ p["member"][:, of].T
         dh *= h > 0
-        every = np.zeros((h3.shape[0] * s, h3.shape[2]), np.float32)
-        every[w_of] = dh
-        dh = every.reshape(h3.shape)
+        dh = dh.reshape(h3.shape)
         u = p["embed"].take(x, axis=0, mode="clip")
         last = u[:, -s:]
-        g["shift"], g["direct"], g["hidden"] = dh.sum(axis=(0, 1)), flat(last).T @ flat(dh), flat(m["o"]).T @ flat(dh)
-        do = dh @ p["hidden"].T
-        da = np.matmul(do, m["v"].transpose(0, 2, 1))
+        g["shift"], g["direct"], g["hidden"] = flat(dh).sum(axis=0), flat(last).T @ flat(dh), flat(m["o"]).T @ flat(dh)
+        # a holds weights before they are scaled to a sum of one; the ones in v take the mean slope off
+        do = (dh @ p["hidden"].T) * m["scale"]
         dv = np.matmul(m["a"].transpose(0, 2, 1), do)
-        ds = m["a"] * (da - (da * m["a"]).sum(axis=2, keepdims=True))
+        ds = np.matmul(np.concatenate([do, -(do * m["o"]).sum(axis=2, keepdims=True)], axis=2), m["v"].transpose(0, 2, 1))
+        ds *= m["a"]
         seen = m["distance"] >= 0
         g["near"] = np.bincount(m["distance"][seen], ds.sum(axis=0)[seen], len(p["near"]))
         dq, dk = np.matmul(ds, m["k"]) * np.float32(len(p["query"]) ** -0.5), np.matmul(ds.transpose(0, 2, 1), m["q"])
@@ -282,11 +306,11 @@ class Attention:
         target = ids.take(first[owner][:, None] + goal, mode="clip").astype(np.intp)
         return x, target, goal < sizes[owner][:, None], owner
 
-    def log10(self, ids: np.ndarray, sizes: np.ndarray, many: int = 1024) -> np.ndarray:
+    def log10(self, ids: np.ndarray, sizes: np.ndarray, many: int = 256) -> np.ndarray:
         """log10 probability of each text; ids end with the end id, and each is predicted in one window."""
         total, ones = np.zeros(len(sizes)), np.ones(int(np.diff(self.bounds).max()) + len(self.bounds), np.float32)
         x, target, counted, owner = self.windows(ids, sizes)
-        t, class_of = self.tables(), np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        t, class_of = self.tables(), self.class_of
         for k in range(0, len(owner), many):
             own = slice(k, k + many)
             h = self.hidden(x[own], t)
@@ -316,9 +340,8 @@ def fit(model: Attention, texts: list[np.ndarray], steps: int = 1200, batch: int
     return model
 
 
-def _segmented(vocabulary: Vocabulary, texts: list[np.ndarray], namer: Names, most: int = 3_000_000):
-    """For slices of texts: (first text, text of each word, name of each word, number of its distinct word,
-    distinct names, their ids, how many each has)."""
+def _sliced(texts: list[np.ndarray], namer: Names, most: int = 3_000_000):
+    """For slices of texts: (first text, text behind the last, lower-cased bytes, begin, end and name of each word, text of each word)."""
     k = 0
     while k < len(texts):
         end, n = k, 0
@@ -329,15 +352,20 @@ def _segmented(vocabulary: Vocabulary, texts: list[np.ndarray], namer: Names, mo
         gap = np.array([BLANK], np.uint8)
         data = LOWER[np.concatenate([p for t in own for p in (t, gap)])]
         begin, stop, names = words_of(data, namer)
-        text = np.searchsorted(np.cumsum([len(t) + 1 for t in own]), begin, side="right")
+        yield k, end, data, begin, stop, names, np.searchsorted(np.cumsum([len(t) + 1 for t in own]), begin, side="right")
+        k = end
+
+
+def _segmented(vocabulary: Vocabulary, texts: list[np.ndarray], namer: Names):
+    """For slices of texts: (first text, text of each word, name of each word, number of its distinct word,
+    distinct names, their ids, how many each has)."""
+    for k, end, data, begin, stop, names, text in _sliced(texts, namer):
         order = np.argsort(names)
         new = np.concatenate([[True], names[order[1:]] != names[order[:-1]]])[: len(order)]
         at, number = order[new], np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
-        distinct = names[at]
         flat, sizes = vocabulary.segment(data, begin[at], stop[at])
-        yield k, end, text, names, number, distinct, flat, sizes
-        k = end
+        yield k, end, text, names, number, names[at], flat, sizes
 
 
 def _with_ends(ids: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,23 +386,105 @@ def _sequences(vocabulary: Vocabulary, texts: list[np.ndarray], namer: Names) ->
 
 
 def buckets_of(vocabulary: Vocabulary) -> np.ndarray:
-    """The bucket of each symbol: its last two bytes, hashed; the end and the beginning of a text have their own."""
+    """The bucket of each symbol: the first OWN entries, the end and the beginning of a text have their own, others share by their last two bytes."""
     last = [e[-1] << 8 | (e[-2] if len(e) > 1 else 0) for e in vocabulary.entries]
-    return np.concatenate([[0], 2 + fmix(np.array(last, np.uint64)) % np.uint64(BUCKETS - 2), [1]]).astype(np.intp)
+    shared = 2 + OWN + fmix(np.array(last, np.uint64)) % np.uint64(BUCKETS - OWN - 2)
+    shared[:OWN] = 2 + np.arange(len(shared[:OWN]))
+    return np.concatenate([[0], shared, [1]]).astype(np.intp)
+
+
+#: Entries of a learned vocabulary and the words it is learned from: of at most WORD_BYTES, and counted in slices where they stand OFTEN times.
+ENTRIES, WORDS, WORD_BYTES, OFTEN = 1000, 16_000, 64, 3
+
+
+def _pieces(words: list[tuple[bytes, int]]) -> tuple[bytes, ...]:
+    """Parts of counted words that spell them in few pieces, by how often they are used."""
+    gain, words = Counter(), [(b" " + w, n) for w, n in words]
+    for w, n in words:
+        for i in range(len(w)):
+            for k in range(2, min(LEARNED, len(w) - i) + 1):
+                gain[w[i : i + k]] += n * (k - 1)
+    vocabulary = Vocabulary(tuple(e for e, _ in sorted(gain.items(), key=lambda g: (-g[1], g[0]))[:ENTRIES]))
+    data, size = np.frombuffer(b"".join(w for w, _ in words), np.uint8), np.array([len(w) for w, _ in words])
+    stop = np.cumsum(size)
+    flat, sizes = vocabulary.segment(data, stop - size + 1, stop)
+    used = np.bincount(flat, np.repeat([n for _, n in words], sizes), vocabulary.size)
+    return tuple(vocabulary.entries[i - 1] for i in np.argsort(-used, kind="stable") if used[i] and i)
+
+
+def learned(docs: DataFrame, path: str) -> str | tuple[bytes, ...]:
+    """Subwords of docs: parts of their most frequent words; those of the tokenizer, if no word is frequent.
+
+    Tasks count the words of all texts, in slices; the driver gets the WORDS most frequent ones.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        namer = _namer()
+        for batch in batches:
+            data, offsets = utf8_slices(batch.column("text"))
+            for _, _, data, begin, stop, names, _ in _sliced([data[offsets[i] : offsets[i + 1]] for i in range(batch.num_rows)], namer):
+                order = np.argsort(names)
+                first = np.flatnonzero(np.concatenate([[True], names[order[1:]] != names[order[:-1]]])[: len(order)])
+                times = np.diff(np.append(first, len(order)))
+                kept = (times >= OFTEN) & ((stop - begin)[order[first]] <= WORD_BYTES)
+                at = order[first[kept]]
+                words = [data[b:e].tobytes() for b, e in zip(begin[at].tolist(), stop[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(times[kept].astype(np.int64))], names=["word", "n"])
 
+    counts = docs.select("text").mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    return _pieces([(bytes(r["word"]), r["n"]) for r in found]) if found else path
 
-def pair_counts(docs: DataFrame, path: str) -> np.ndarray:
-    """How often each subword follows a symbol of each bucket, in all texts of docs.
+
+def encoded(docs: DataFrame, source: str | tuple[bytes, ...]) -> DataFrame:
+    """doc_id, ids: each text's subwords and its end, as unsigned numbers of two bytes (of four, if the vocabulary is larger); null text: empty."""
+    kind = _kind(Vocabulary(source))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, namer = Vocabulary(source), _namer()
+        for batch in batches:
+            data, offsets = utf8_slices(batch.column("text"))
+            parts = list(_sequences(vocabulary, [data[offsets[i] : offsets[i + 1]] for i in range(batch.num_rows)], namer))
+            if parts:
+                flat, ends = np.concatenate([p for p, _ in parts]).astype(kind), np.cumsum(np.concatenate([n for _, n in parts])).tolist()
+                ids = [flat[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(work, schema)
+
+
+def _kind(vocabulary: Vocabulary) -> str:
+    return "<u2" if vocabulary.size <= 1 << 16 else "<u4"
+
+
+def _known(texts: list[np.ndarray], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of encoded texts one after another, and how many each has."""
+    return np.concatenate(texts).view(kind).astype(np.int64), np.array([len(t) for t in texts]) // int(kind[-1])
+
+
+def pair_counts(docs: DataFrame, path: str | tuple[bytes, ...]) -> np.ndarray:
+    """How often each subword follows a symbol of each bucket, in all texts of docs (text, or ids from encoded()).
 
     A task counts pairs within its distinct words once, and pairs across words. The sums are added by pair, so the
     driver gets a number per bucket and entry of the vocabulary at most.
     """
+    ready = "ids" in docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, namer = Vocabulary(path), _namer()
         bucket_of, size = buckets_of(vocabulary), vocabulary.size
         total, begin = np.zeros(BUCKETS * size, np.int64), len(bucket_of) - 1
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if ready:
+                data, offsets = utf8_slices(batch.column("ids"))
+                ids, sizes = _known([data[offsets[i] : offsets[i + 1]] for i in range(batch.num_rows)], _kind(vocabulary))
+                before = np.concatenate([[begin], ids[:-1]])
+                before[np.cumsum(sizes) - sizes] = begin  # each text has its end at least
+                total += np.bincount(bucket_of[before] * size + ids, minlength=len(total))
+                continue
             data, offsets = utf8_slices(batch.column("text"))
             own = [data[offsets[i] : offsets[i + 1]] for i in range(batch.num_rows)]
             for k, end, text, _, number, distinct, flat, sizes in _segmented(vocabulary, own, namer):
@@ -394,7 +504,7 @@ def pair_counts(docs: DataFrame, path: str) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    found = docs.select("text").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("ids" if ready else "text").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS * Vocabulary(path).size)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy()
     return counts.reshape(BUCKETS, -1)
@@ -412,33 +522,35 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table(row, schema=table.schema)
 
 
-def refined(model: Attention, docs: DataFrame, path: str, share: float, batch: int = 64, rate: float = 0.002, since: float = 0.0) -> Attention:
+def refined(model: Attention, docs: DataFrame, path: str, share: float, batch: int = 256, rate: float = 0.002, since: float = 0.0) -> Attention:
     """The model after gradient steps in every task on its part of a fixed share of docs, averaged by their windows.
 
-    The rows are those whose hash, from 0 to 1, is above `since` and up to `share`. What is learned from grows with docs. Parameters are added in two levels of groups, so no task and not the
-    driver holds those of all tasks.
+    docs: doc_id, and text or ids from encoded(). The rows are those whose hash, from 0 to 1, is above `since` and up
+    to `share`. What is learned from grows with docs. Parameters are added in two levels of groups, so no task and
+    not the driver holds those of all tasks.
     """
+    ready = "ids" in docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        vocabulary, namer, seen, held, size = Vocabulary(path), _namer(), 0, [], 0
+        vocabulary, namer, seen, held, size = Vocabulary(model.source or path), _namer(), 0, [], 0
         own = replace(model, p={k: v.copy() for k, v in model.p.items()})
         adam = Adam([own.p[k] for k in Attention.NAMES], rate)
 
         def learn(texts: list[np.ndarray]) -> int:
             n, rng = 0, np.random.default_rng(zlib.crc32(b"".join(t[:64].tobytes() for t in texts)))  # by what the rows say
-            for ids, sizes in _sequences(vocabulary, texts, namer):
+            for ids, sizes in [_known(texts, _kind(vocabulary))] if ready else _sequences(vocabulary, texts, namer):
                 x, target, counted, _ = own.windows(ids, sizes)
-                order = rng.permutation(len(x))
-                for k in range(0, len(order), batch):
-                    some = order[k : k + batch]
+                order, most = rng.permutation(len(x)), max(32, min(batch, len(x) // 64))  # few windows: smaller steps, more of them
+                for k in range(0, len(order), most):
+                    some = order[k : k + most]
                     adam.apply(own.gradients(x[some], target[some], counted[some])[1])
                 n += len(x)
             return n
 
         for rows in batches:
-            data, offsets = utf8_slices(rows.column("text"))
+            data, offsets = utf8_slices(rows.column(0))
             for i in range(rows.num_rows):
                 held.append(data[offsets[i] : offsets[i + 1]])
                 size += len(held[-1])
@@ -452,7 +564,8 @@ def refined(model: Attention, docs: DataFrame, path: str, share: float, batch: i
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("block", pa.int32()), ("side", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())]))
 
     place = unit_hash(F.col("doc_id"), F.lit(9))
-    rows = docs.where((place > since) & (place <= share)).where("text is not null").select("text").mapInArrow(work, _BLOCKS)
+    column = "ids" if ready else "text"
+    rows = docs.where((place > since) & (place <= share)).where(F.col(column).isNotNull()).select(column).mapInArrow(work, _BLOCKS)
     found = rows.groupBy("block", "side").applyInArrow(_added, _BLOCKS).groupBy("block").applyInArrow(_added, _BLOCKS).orderBy("block").collect()
     if not found:
         return model
@@ -469,27 +582,32 @@ LEAST_LETTERS, MOST_PASSES = 8_000_000, 8
 ROUNDS = (0.0, 1 / 16, 1 / 4, 1.0)
 
 
-def train(docs: DataFrame, path: str, share: float = 1.0, sample: int = 1500, excerpt: int = 4000, size: int = 32, hidden: int = 64, context: int = 16, stride: int = 32, steps: int = 0, rate: float = 0.01, **how) -> Attention:
+def train(docs: DataFrame, path: str, share: float = 1.0, sample: int = 1500, excerpt: int = 4000, size: int = 16, hidden: int = 32, context: int = 16, stride: int = 32, steps: int = 0, rate: float = 0.02, **how) -> Attention:
     """A model of docs (doc_id, text).
 
-    Counts come from all texts, and all tasks learn the attention from all rows (of a `share` of them, if that is
+    Subwords and counts come from all texts, and all tasks learn the attention from all rows (of a `share` of them, if that is
     asked), in rounds with falling rates. steps: begin with so many in the driver, on excerpts of `sample` rows.
     """
-    model = Attention.start(pair_counts(docs, path), buckets_of(Vocabulary(path)), size, hidden, context, stride, 1)
+    source = learned(docs, path)
+    ids_of = saved(encoded(docs, source), "encoded")
+    model = Attention.start(pair_counts(ids_of, source), buckets_of(Vocabulary(source)), size, hidden, context, stride, 1)
+    model.source = source
     if steps:
         at = F.floor(unit_hash(F.col("doc_id"), F.lit(3)) * F.greatest(F.lit(1), F.length("text") - excerpt)).cast("int") + 1
         rows = drawn(docs.where("text is not null").select("doc_id", F.substring("text", at, F.lit(excerpt)).alias("text")), "doc_id", sample).select("text").collect()
-        ids = [part for own, sizes in _sequences(Vocabulary(path), [np.frombuffer(r["text"].encode(), np.uint8) for r in rows], _namer()) for part in np.split(own, np.cumsum(sizes)[:-1])]
+        ids = [part for own, sizes in _sequences(Vocabulary(source), [np.frombuffer(r["text"].encode(), np.uint8) for r in rows], _namer()) for part in np.split(own, np.cumsum(sizes)[:-1])]
         model = fit(model, ids, steps=steps, rate=rate, **how)
     letters = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) * share
     if not letters:
+        discard(ids_of)
         return model
     passes = min(MOST_PASSES, max(1, math.ceil(LEAST_LETTERS / letters)))
     ends = ROUNDS if letters >= LEAST_LETTERS else (0.0, 1.0)
     rate = rate if not steps else 0.2 * rate  # what the driver has begun goes on with small steps
     for k in range(passes):
         for since, until in zip(ends, ends[1:]):
-            model = refined(model, docs, path, until * share, rate=rate * (1 - 0.9 * (k + since) / passes), since=since * share)
+            model = refined(model, ids_of, path, until * share, rate=rate * (1 - 0.9 * (k + since) / passes), since=since * share)
+    discard(ids_of)
     return model
 
 
@@ -501,7 +619,7 @@ def _chunk_words(model: Attention, path: str):
     """Texts scored by the model. A row per distinct word of a chunk, and one with what stands where in its texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, namer = Vocabulary(path), _namer()
+        vocabulary, namer = Vocabulary(model.source or path), _namer()
         for chunk, texts, (ids, held) in _chunks(batches, ["doc_id", "held_out"]):
             if not texts:
                 continue

@@ -517,3 +517,20 @@ def test_the_query_s_model_learns_from_every_row(spark, monkeypatch):
     rows = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
     scoring.train(rows, tokenizer_path("byte_bpe_50k.json"))
     assert sorted(seen) == list(range(500))
+
+
+def test_encoded_texts_give_the_counts_of_their_texts(docs):
+    """Subwords are found once: counts from the ids are those from the texts, null ones being empty."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    source = scoring._pieces([(b"engine", 9), (b"engines", 5), (b"the", 30)])
+    assert all(b"".join(scoring.Vocabulary(source).entries[i - 1] for i in scoring.Vocabulary(source).segment(np.frombuffer(b" " + w + b" ", np.uint8), np.array([1]), np.array([1 + len(w)]))[0]) == b" " + w for w in (b"engines", b"the", b"\xc3\xa9t"))
+    assert len(source[0]) > 1
+    np.testing.assert_array_equal(scoring.pair_counts(scoring.encoded(docs, source), source), scoring.pair_counts(rows, source))
+
+
+def test_subwords_come_from_all_training_texts(spark):
+    """A word that only one of many rows repeats is among the learned pieces, and a text without frequent words keeps the tokenizer's."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(i, "alpha beta " * 5 if i else "Zyxq " * 5) for i in range(40)], "doc_id long, text string").repartition(3)
+    assert any(b"zyxq" in e for e in scoring.learned(rows, path))
+    assert scoring.learned(spark.createDataFrame([(1, "one"), (2, None)], "doc_id long, text string"), path) == path
